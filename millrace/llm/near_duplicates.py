@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.text_kernels import list_column, mix, shingle_hashes, text_slices
-from millrace.session import staged
+from millrace.session import staged, unstage
 
 COORDINATES, MATCHES, WIDTH, SIMILARITY = 32, 7, 3, 0.60
 EXPAND = 32
@@ -101,7 +101,11 @@ def near_duplicates(
     members = staged(
         features.select("id", "h1", "h2", "n").distinct().join(classes, ["h1", "h2", "n"]).select("id", "rep", "copies", "n"), "members"
     )
-    reps = features.join(members.where("id = rep").select("id"), "id", "left_semi").dropDuplicates(["id"]).select(F.col("id").alias("rep"), "n", "sig")
+    reps = staged(
+        features.join(members.where("id = rep").select("id"), "id", "left_semi").dropDuplicates(["id"]).select(F.col("id").alias("rep"), "n", "sig"),
+        "representatives",
+    )
+    unstage(features)
 
     postings = reps.select("rep", "n", F.explode("sig").alias("key"))
     shared = postings.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
