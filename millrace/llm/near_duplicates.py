@@ -15,8 +15,8 @@ every posting list:
   pairs found so far, by comparing the two signatures (skip merging).
 
 Pairs that reach ``matches`` collisions are then checked on their whole shingle
-sets. With 32 coordinates and 7 matches, a pair at the limit of 0.60 is missed
-with probability 1e-5 (binomial), far less above it.
+sets. With 24 coordinates and 5 matches, a pair at the limit of 0.60 is missed
+with probability 2e-5 (binomial), far less above it.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from millrace.llm.text_kernels import list_column, mix, shingle_hashes, text_slices
 from millrace.session import staged, unstage
 
-COORDINATES, MATCHES, WIDTH, SIMILARITY = 32, 7, 3, 0.60
+COORDINATES, MATCHES, WIDTH, SIMILARITY = 24, 5, 3, 0.60
 EXPAND = 32
 
 
