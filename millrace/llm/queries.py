@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm import leakage, splitting
 from millrace.llm import near_duplicates as nd
 from millrace.sources.tables import table
 
@@ -21,9 +22,31 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nd.groups(members, links).withColumnRenamed("id", "chunk_id")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = splitting.split_oversized(table(spark, sf_dir, "code_chunk"))
+    return pieces.where("piece = 1").select("chunk_id")
+
+
+def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split_oversized(table(spark, sf_dir, "code_chunk"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
+    return found.where(F.col("word_run") >= leakage.PASSAGE).select("doc_id", "item_id")
+
+
+def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item")).where(F.col("word_run") >= leakage.PASSAGE)
+    return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.max("word_run").alias("longest_run"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return ORACLES
+
+
+ORACLES = {"p3_found": "SELECT DISTINCT chunk_id FROM code_chunk WHERE length(content) > 4000 AND chunk_id IS NOT NULL"}
