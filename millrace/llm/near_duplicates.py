@@ -8,9 +8,9 @@ every posting list:
 
 * texts with the same shingle set form one class first (groups of copies, of
   whatever size, become one posting text);
-* values that only one class has are dropped; of the others a class posts only
-  its rarest, as many as the match threshold leaves open (prefix merging: two
-  classes with enough collisions share one of these);
+* a class posts only its rarest values, as many as the match threshold leaves
+  open (prefix merging: two classes with enough collisions share one of these,
+  whatever the order; how frequent values are is kept in a table of fixed size);
 * the long posting lists, which rank last, are skipped and probed only for the
   pairs found so far, by comparing the two signatures (skip merging).
 
@@ -33,6 +33,7 @@ from millrace.session import staged, unstage
 
 COORDINATES, MATCHES, WIDTH, SIMILARITY = 24, 5, 3, 0.60
 EXPAND = 32
+SKETCH = 1 << 16  # counters of value frequencies: half a megabyte, whatever the corpus
 
 
 def _signatures(width: int, coordinates: int):
@@ -73,6 +74,25 @@ def _shingles(width: int):
     return run
 
 
+def _rarest(frequent, keep: int):
+    """Each class posts its ``keep`` least frequent values; any fixed order of values would give the same pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.num_rows
+            if not rows:
+                continue
+            sig = batch.column(2).flatten().to_numpy().reshape(rows, -1)
+            often = frequent.value[np.mod(sig, SKETCH)]
+            order = np.lexsort((sig, often), axis=1)[:, :keep]
+            at = pa.array(np.repeat(np.arange(rows), order.shape[1]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.take_along_axis(sig, order, axis=1).ravel()), batch.column(0).take(at), batch.column(1).take(at)], names=["key", "rep", "n"]
+            )
+
+    return run
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "chunk_id",
@@ -107,18 +127,12 @@ def near_duplicates(
     )
     unstage(features)
 
-    postings = reps.select("rep", "n", F.explode("sig").alias("key"))
-    shared = postings.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = (
-        postings.join(shared, "key")
-        .groupBy("rep", "n")
-        .agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("keys"))  # at most `coordinates` entries
-        .where(F.size("keys") >= matches)
-    )
-    prefix = staged(
-        ranked.select("rep", "n", F.explode(F.expr(f"slice(keys, 1, size(keys) - {matches - 1})")).alias("k")).select("k.key", "rep", "n"),
-        "prefix",
-    )
+    bucket = F.pmod(F.col("key"), F.lit(SKETCH)).cast("int")
+    sketch = np.zeros(SKETCH, dtype=np.int64)
+    for at, n in reps.select(F.explode("sig").alias("key")).groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).collect():
+        sketch[at] = n
+    frequent = docs.sparkSession.sparkContext.broadcast(sketch)
+    prefix = reps.mapInArrow(_rarest(frequent, coordinates - matches + 1), f"key long, rep {id_type}, n int")
     a = prefix.select("key", F.col("rep").alias("a"), F.col("n").alias("na"))
     b = prefix.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"))
     fits = (F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
