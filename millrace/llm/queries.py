@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import leakage, mixing, splitting, truncation
+from millrace.llm import code_origin, leakage, mixing, splitting, truncation
 from millrace.llm import near_duplicates as nd
 from millrace.sources.tables import table
 
@@ -22,6 +22,15 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nd.groups(members, links).withColumnRenamed("id", "chunk_id")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_origin.not_hand_written(table(spark, sf_dir, "code_chunk")).where("reason IS NOT NULL").select("repo", "file_path")
+
+
+def p2_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = code_origin.not_hand_written(table(spark, sf_dir, "code_chunk"))
+    return files.groupBy("repo", "reason").agg(F.count("*").alias("files"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = splitting.split_oversized(table(spark, sf_dir, "code_chunk"))
     return pieces.where("piece = 1").select("chunk_id")
