@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import code_origin, leakage, mixing, splitting, truncation
+from millrace.llm import code_origin, leakage, mixing, splitting, syntax, truncation
 from millrace.llm import near_duplicates as nd
 from millrace.sources.tables import table
 
@@ -40,6 +40,14 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_oversized(table(spark, sf_dir, "code_chunk"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.parsed_files(table(spark, sf_dir, "code_chunk")).where("broken").select("repo", "file_path")
+
+
+def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.broken_rates(table(spark, sf_dir, "code_chunk"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
     return found.where(F.col("word_run") >= leakage.PASSAGE).select("doc_id", "item_id")
