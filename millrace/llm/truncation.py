@@ -8,64 +8,136 @@ to line shapes: a last line without a sentence end is whole when the corpus has
 its shape inside other texts, or as an ending that no longer ending continues.
 Lengths are the second kind of evidence: a source whose longest texts pile up
 at one length has a field limit there.
+
+The texts are read once. Each Arrow batch gives one row a text, and its words
+and line shapes already counted, so that counts and not texts are shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.session import staged
 
-SUPPORT = 3  # distinct texts that make a word, a line shape or an ending known
+SUPPORT = 3  # places that make a word, a line shape or an ending known
 CONTINUED = 0.2  # an ending may be continued by others in at most this share of its own number
-
-_END = r"[.!?。！？](?:[\"'”’»」』)\]`*_]*)$"
-_DOTS = r"(?:\.\.\.|…)$"
-_MARK = r"(?i)(?:\x{FFFD}|[\[(<](?:truncated|cut off|cut|snip(?:ped)?|\.\.\.|…)[^\])>]{0,40}[\])>])$"
-_LOG_LINE = r"^\s*(?:\d\d:\d\d:\d\d\s|\[\d+\]\s|(?:PASSED|FAILED|ok|skipped)\s|[\w./-]+:\d+:)"
-
-
-def shape(line: Column) -> Column:
+PHRASE = 12  # an ending (tag line, sign-off, list entry, log result) has at most this many words
+
+_END = re.compile(r"[.!?。！？][\"'”’»」』)\]`*_]*$")
+_DOTS = re.compile(r"(?:\.\.\.|…)$")
+_MARK = re.compile(r"(?:�|[\[(<](?:truncated|cut off|cut|snip(?:ped)?|\.\.\.|…)[^\])>]{0,40}[\])>])$", re.I)
+_LOG_LINE = re.compile(r"^\s*(?:\d\d:\d\d:\d\d\s|\[\d+\]\s|(?:PASSED|FAILED|ok|skipped)\s|[\w./-]+:\d+:)")
+_SENTENCE = re.compile(r"(?:^|[.!?。！？`]\s+)([^.!?。！？`]*(?:\.\.\.|…))$")
+_ZERO = re.compile(r"(?:^|\s)0\.$")
+_FENCE = re.compile(r"(?m)^\s*```")
+_FENCED = re.compile(r"```.*?(?:```|\Z)", re.S)
+_WORD = re.compile(r"[^\W\d_]+")
+_LAST_WORD = re.compile(r"[^\W\d_]+\Z")
+_CODE, _NUMBER, _LETTERS = re.compile("`[^`]*`"), re.compile(r"\d+(?:[.:]\d+)*"), re.compile(r"[^\W\d]+")
+
+
+def shape(line: str) -> str:
     """A line with quoted code as B, numbers as 9 and words as w."""
-    s = F.regexp_replace(line, "`[^`]*`", "B")
-    s = F.regexp_replace(s, r"\d+(?:[.:]\d+)*", "9")
-    return F.regexp_replace(s, r"[\p{L}\p{M}_]+", "w")
-
-
-def _literal(line: Column) -> Column:
-    return F.regexp_replace(line, r"\d+(?:[.:]\d+)*", "9")
-
-
-def _endings(finals: DataFrame, column: str) -> DataFrame:
-    """The endings that enough distinct texts share and hardly any longer ending continues.
-
-    ``column`` holds arrays: element k describes the last line's first k words.
-    """
-    own = finals.select(F.element_at(column, -1).alias(column)).groupBy(column).agg(F.count("*").alias("support"))
-    own = staged(own.where((F.col("support") >= SUPPORT) & (F.length(column) > 0)).withColumn("words", F.size(F.split(column, " "))), "endings")
-    most = own.agg(F.max("words")).first()[0] or 1
-    longer = (
-        finals.where(F.size(column) > 1)
-        .select(F.explode(F.expr(f"slice({column}, 1, least(size({column}) - 1, {most}))")).alias(column))
-        .groupBy(column)
-        .agg(F.count("*").alias("continued"))
-    )
-    return (
-        own.join(longer, column, "left")
-        .where(F.coalesce("continued", F.lit(0)) <= CONTINUED * F.col("support"))
-        .select(F.col(column).alias(f"{column}_end"), F.lit(True).alias(f"{column}_known"))
-    )
-
-
-def word_trie(texts: DataFrame) -> DataFrame:
-    """``(prefix, is_word, goes_on)`` over the words of ``texts.body`` that enough places hold."""
-    words = (
-        texts.select(F.explode(F.regexp_extract_all("body", F.lit(r"[\p{L}\p{M}]+"), F.lit(0))).alias("word"))
-        .groupBy("word")
-        .agg(F.count("*").alias("n"))
-        .where(F.col("n") >= SUPPORT)
-    )
+    return _LETTERS.sub("w", _NUMBER.sub("9", _CODE.sub("\x01", line))).replace("\x01", "B")
+
+
+def _hash(s: str) -> int:
+    import xxhash
+
+    h = xxhash.xxh3_64_intdigest(s)
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def ending(text: str) -> tuple[str, int, list[int], list[int], str]:
+    """Verdict by the end alone (``cut``, ``whole`` or empty), the shape of the last line, the ending under its three
+    descriptions, all shorter beginnings of it, and the sentence that dots close."""
+    last = text[max(text.rfind("\n"), text.rfind("\r")) + 1 :]
+    tail = text[-200:]
+    verdict, dots = "", ""
+    if _MARK.search(tail) or len(_FENCE.findall(text)) % 2:
+        verdict = "cut"
+    elif _DOTS.search(tail):
+        m = _SENTENCE.search(last)
+        dots = _NUMBER.sub("9", m.group(1) if m else last)
+    elif _ZERO.search(tail) or (last.endswith(".") and _LOG_LINE.match(last)):
+        verdict = "cut"
+    elif _END.search(tail):
+        verdict = "whole"
+    words = last.split(" ")
+    shapes, literals = [shape(w) for w in words], [_NUMBER.sub("9", w) for w in words]
+    full, parts = [], []
+    for k in range(1, min(len(words), PHRASE) + 1):
+        s, prefix = " ".join(shapes[:k]), " ".join(shapes[: k - 1])
+        keys = [_hash(f"s {s}"), _hash("l " + " ".join(literals[:k])), _hash(f"m {prefix} {literals[k - 1]}")]
+        if k == len(words):
+            full = keys
+        else:
+            parts += keys
+    return verdict, _hash(shape(last)), full, parts, dots
+
+
+_COLUMNS = "source string, h1 long, h2 long, size int, verdict string, shape long, ending array<long>, beginnings array<long>, dots string, token string, word string, line long, n long"
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import xxhash
+
+    for batch in batches:
+        words: Counter[str] = Counter()
+        lines: Counter[str] = Counter()
+        rows = []
+        for text in batch.column(2).to_pylist():
+            if text is None:
+                rows.append((None, None, None, "whole", None, [], [], "", ""))
+                continue
+            h1, h2 = xxhash.xxh3_64_intdigest(text), xxhash.xxh64_intdigest(text, 1)
+            t = text.rstrip()
+            if not t:
+                rows.append((h1, h2, len(text), "whole", None, [], [], "", ""))
+                continue
+            token = _LAST_WORD.search(t[-400:])
+            token = (token.group() if token else "") if len(t) <= 400 or not token or len(token.group()) < 400 else _LAST_WORD.search(t).group()
+            words.update(_WORD.findall(t[: len(t) - len(token)]))
+            inner = (r for r in _FENCED.sub("```", t).split("\n")[:-1])
+            lines.update({shape(r) for r in (x.rstrip("\r") for x in inner) if r and not _END.search(r[-12:])})
+            rows.append((h1, h2, len(text), *ending(t), token))
+        n, w, s = len(rows), list(words), list(lines)
+        extra = len(w) + len(s)
+        columns = list(zip(*rows)) if rows else [[]] * 9
+        signed = lambda xs: pa.array(np.array([x or 0 for x in xs], dtype=np.uint64).view(np.int64), mask=np.array([x is None for x in xs], dtype=bool))
+        tail = lambda a: pa.concat_arrays([a, pa.nulls(extra, a.type)])
+        ids = batch.column(0)
+        yield pa.RecordBatch.from_arrays(
+            [
+                tail(ids),
+                tail(batch.column(1)),
+                tail(signed(columns[0])),
+                tail(signed(columns[1])),
+                tail(pa.array(columns[2], type=pa.int32())),
+                tail(pa.array(columns[3], type=pa.string())),
+                tail(pa.array(columns[4], type=pa.int64())),
+                tail(pa.array(columns[5], type=pa.list_(pa.int64()))),
+                tail(pa.array(columns[6], type=pa.list_(pa.int64()))),
+                tail(pa.array(columns[7], type=pa.string())),
+                tail(pa.array(columns[8], type=pa.string())),
+                pa.concat_arrays([pa.nulls(n, pa.string()), pa.array(w, type=pa.string()), pa.nulls(len(s), pa.string())]),
+                pa.concat_arrays([pa.nulls(n + len(w), pa.int64()), pa.array([_hash(x) for x in s], type=pa.int64())]),
+                pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array([words[x] for x in w] + [lines[x] for x in s], type=pa.int64())]),
+            ],
+            names=["doc_id", *(c.split()[0] for c in _COLUMNS.split(", "))],
+        )
+
+
+def word_trie(counts: DataFrame) -> DataFrame:
+    """``(prefix, is_word, goes_on)`` over the words of ``counts(word, n)`` that enough places hold."""
+    words = counts.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= SUPPORT)
     nodes = words.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("k")).select(
         F.expr("substring(word, 1, k)").alias("prefix"), (F.col("k") == F.length("word")).alias("is_word")
     )
@@ -78,90 +150,57 @@ def truncated(docs: DataFrame) -> DataFrame:
     Copies of one text share one verdict. A null, empty or blank text is not cut, a null source is a source of its
     own, and repeated rows stay repeated. Texts are read whole; other columns are not read.
     """
-    rows = docs.select("doc_id", "source", F.col("text")).withColumns(
-        {"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), F.col("text")), "size": F.length("text")}
-    )
-    lengths = rows.where("size > 0").groupBy("source", "size").agg(F.approx_count_distinct("h1", 0.02).alias("texts"))
+    wanted = docs.select("doc_id", "source", "text")
+    kind = wanted.schema["doc_id"].dataType.simpleString()
+    read = staged(wanted.mapInArrow(_read, f"doc_id {kind}, {_COLUMNS}"), "endings")
+    rows = read.where("n IS NULL")
+    trie = word_trie(read.where("word IS NOT NULL").select("word", "n"))
+    inner = read.where("line IS NOT NULL").groupBy("line").agg(F.sum("n").alias("places")).where(F.col("places") >= SUPPORT).select(F.col("line").alias("shape"), F.lit(True).alias("inner_known"))
+
+    lengths = rows.where("size > 0").groupBy("source", "size").agg(F.count_distinct("h1", "h2").alias("texts"))
     limits = lengths.groupBy("source").agg(F.max(F.struct("size", "texts")).alias("m"), F.sum("texts").alias("all")).where(
         (F.col("m.texts") >= SUPPORT) & (F.col("m.texts") >= 0.005 * F.col("all"))
     )
-    keyed = rows.select("h1", "h2", "source", "size").distinct()
-    at_limit = (
-        keyed.join(limits.select(F.col("source").alias("ls"), F.col("m.size").alias("limit")), F.col("source").eqNullSafe(F.col("ls")), "left")
+    limits = limits.select(F.coalesce("source", F.lit("\0")).alias("ls"), F.col("m.size").alias("limit"))
+    at = F.coalesce(F.col("size") == F.col("limit"), F.lit(False))
+    texts = (
+        rows.where("h1 IS NOT NULL")
+        .join(limits, F.coalesce("source", F.lit("\0")) == F.col("ls"), "left")
         .groupBy("h1", "h2")
-        .agg(F.max(F.coalesce(F.col("size") == F.col("limit"), F.lit(False))).alias("at_limit"))
-    )
-    trimmed = F.regexp_replace("text", r"\s+$", "")
-    texts = rows.where("text IS NOT NULL").dropDuplicates(["h1", "h2"]).select("h1", "h2", trimmed.alias("t")).where("t <> ''")
-    plain = F.regexp_replace("t", r"(?s)```.*?(?:```|$)", "```")
-    texts = texts.withColumns(
-        {
-            "last": F.regexp_extract("t", r"([^\r\n]*)$", 1),
-            "token": F.regexp_extract("t", r"([\p{L}\p{M}]+)$", 1),
-            "fences": F.regexp_count("t", F.lit(r"(?m)^\s*```")),
-        }
+        .agg(F.max(at).alias("at_limit"), *[F.first(c).alias(c) for c in ("verdict", "shape", "ending", "beginnings", "dots", "token")])
     )
-    trie = word_trie(texts.select(F.regexp_replace("t", r"[\p{L}\p{M}]+$", "").alias("body")))
-    lines = F.filter(F.slice(F.split(plain, "\r?\n"), 1, F.greatest(F.size(F.split(plain, "\r?\n")) - 1, F.lit(0))), lambda x: ~x.rlike(_END) & (x != ""))
-    inner = (
-        texts.select(F.explode(F.array_distinct(F.transform(lines, lambda x: F.array_join(F.transform(F.split(x, " "), shape), " ")))).alias("shape"))
-        .groupBy("shape")
-        .agg(F.count("*").alias("n"))
-        .where(F.col("n") >= SUPPORT)
-        .select(F.col("shape").alias("shape_end"), F.lit(True).alias("inner_known"))
+    texts = staged(texts, "texts")
+    both = texts.select(F.explode("ending").alias("key"), F.lit(1).alias("own"), F.lit(0).alias("longer")).union(
+        texts.select(F.explode("beginnings").alias("key"), F.lit(0).alias("own"), F.lit(1).alias("longer"))
     )
-    finals = staged(
-        texts.select(
-            "h1",
-            "h2",
-            "last",
-            "token",
-            "fences",
-            F.transform(F.split("last", " "), shape).alias("shapes"),
-            F.transform(F.split("last", " "), _literal).alias("literals"),
-            _literal(F.regexp_extract("last", r"(?:^|[.!?。！？`]\s+)([^.!?。！？`]*(?:\.\.\.|…))$", 1)).alias("dots"),
-            F.regexp_extract("t", r"(?s)([^\r\n]{0,80})$", 1).alias("tail"),
-        ),
-        "finals",
-    )
-    upto = "transform(sequence(1, size(shapes)), k -> {})"
-    finals = finals.withColumns(
-        {
-            "shape": F.expr(upto.format("array_join(slice(shapes, 1, k), ' ')")),
-            "literal": F.expr(upto.format("array_join(slice(literals, 1, k), ' ')")),
-            "mixed": F.expr(upto.format("array_join(concat(slice(shapes, 1, k - 1), slice(literals, k, 1)), ' ')")),
-        }
+    endings = both.groupBy("key").agg(F.sum("own").alias("own"), F.sum("longer").alias("longer")).where((F.col("own") >= SUPPORT) & (F.col("longer") <= CONTINUED * F.col("own")))
+    known = (
+        texts.select("h1", "h2", F.posexplode("ending").alias("at", "key"))
+        .join(endings.select("key"), "key", "left_semi")
+        .groupBy("h1", "h2")
+        .agg(F.lit(True).alias("ending_known"), F.max(F.col("at") == 1).alias("literal_known"))
     )
-    kinds = {c: _endings(finals, c) for c in ("shape", "literal", "mixed")}
-    known_dots = finals.where("dots <> ''").groupBy("dots").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT).select("dots", F.lit(True).alias("dots_known"))
+    dots = texts.where("dots <> ''").groupBy("dots").agg(F.count("*").alias("k")).where(F.col("k") >= SUPPORT).select("dots", F.lit(True).alias("dots_known"))
     judged = (
-        finals.withColumns({f"{c}_end": F.element_at(c, -1) for c in kinds})
-        .drop(*kinds)
-        .join(trie.withColumnRenamed("prefix", "token"), "token", "left")
-        .join(inner, "shape_end", "left")
-        .join(kinds["shape"], "shape_end", "left")
-        .join(kinds["literal"], "literal_end", "left")
-        .join(kinds["mixed"], "mixed_end", "left")
-        .join(known_dots, "dots", "left")
-        .join(at_limit, ["h1", "h2"])
+        texts.join(trie.withColumnRenamed("prefix", "token"), "token", "left")
+        .join(inner, "shape", "left")
+        .join(dots, "dots", "left")
+        .join(known, ["h1", "h2"], "left")
     )
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     unknown_prefix = (F.col("token") != "") & ~yes("is_word") & yes("goes_on")
     cut = (
-        F.when(F.col("tail").rlike(_MARK), True)
-        .when(F.col("fences") % 2 == 1, True)
-        .when(F.col("tail").rlike(_DOTS), ~yes("dots_known"))
-        .when(F.col("tail").rlike(r"(?:^|\s)0\.$") | (F.col("last").rlike(_LOG_LINE) & F.col("last").rlike(r"\.$")), True)
-        .when(F.col("tail").rlike(_END), False)
+        F.when(F.col("verdict") == "cut", True)
+        .when(F.col("verdict") == "whole", False)
+        .when(F.col("dots") != "", ~yes("dots_known"))
         .when(unknown_prefix, True)
         .when(yes("inner_known") & F.col("at_limit") & ~yes("literal_known"), True)
-        .when(yes("shape_known") | yes("literal_known") | yes("mixed_known"), False)
+        .when(yes("ending_known"), False)
         .otherwise(~yes("inner_known"))
     )
-    verdicts = judged.select("h1", "h2", cut.alias("cut"))
     return (
         rows.select("doc_id", "source", "h1", "h2")
-        .join(verdicts, ["h1", "h2"], "left")
+        .join(judged.select("h1", "h2", cut.alias("cut")), ["h1", "h2"], "left")
         .select("doc_id", "source", F.coalesce("cut", F.lit(False)).alias("cut"))
     )
 
