@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import code_origin, leakage, mixing, splitting, syntax, truncation
 from millrace.llm import near_duplicates as nd
+from millrace.llm import neighbours as nn
 from millrace.sources.tables import table
 
 
@@ -48,6 +49,27 @@ def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syntax.broken_rates(table(spark, sf_dir, "code_chunk"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = nn.neighbours(table(spark, sf_dir, "index_record"), 5, min_cosine=0.90)
+    return near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
+
+
+def p6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = table(spark, sf_dir, "index_record")
+    uris = records.select("id", "uri", "level").dropDuplicates(["id"])
+    near = nn.neighbours(records, 5, degree=24, cuttings=16, rounds=4)
+    return near.join(uris.select(F.col("id").alias("neighbour"), "uri", "level"), "neighbour").select("id", "level", "rank", "neighbour", "uri", "cosine")
+
+
+def p6_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.lit(0).alias("level"), "embedding")
+    members, nodes = nn.prepare(records)
+    links = nn.graph(nodes, degree=24, cuttings=8, rounds=3)
+    asked = members.where("id % 20 = 0").join(nodes, "node").select(F.col("id").alias("qid"), "level", "code")
+    found = nn.search(nodes, links, asked, 6)
+    return found.join(members, "node").select(F.col("qid").alias("vec_id"), F.col("id").alias("neighbour"), "sim").where("vec_id <> neighbour")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
     return found.where(F.col("word_run") >= leakage.PASSAGE).select("doc_id", "item_id")
