@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import messages
+from millrace.plans import messages, scalars
 
-_MODULES = (messages,)
+_MODULES = (scalars, messages)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
