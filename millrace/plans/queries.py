@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import messages, scalars
+from millrace.plans import messages, relations, retrieval, scalars
 
-_MODULES = (scalars, messages)
+_MODULES = (retrieval, relations, scalars, messages)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
