@@ -104,4 +104,26 @@ def oracle_sql() -> dict[str, str]:
     return ORACLES
 
 
-ORACLES = {"p3_found": "SELECT DISTINCT chunk_id FROM code_chunk WHERE length(content) > 4000 AND chunk_id IS NOT NULL"}
+_WORDS = "regexp_extract_all(lower({0}), '[a-z0-9]+')"
+
+ORACLES = {
+    "p1_found": r"""
+        WITH c AS (SELECT chunk_id, any_value(content) AS t FROM code_chunk WHERE chunk_id IS NOT NULL AND content IS NOT NULL GROUP BY 1),
+        w AS (SELECT chunk_id, regexp_extract_all(t, '[\p{L}\p{N}_]+') AS w FROM c),
+        s AS (SELECT DISTINCT chunk_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM w),
+        n AS (SELECT chunk_id, count(*) AS n FROM s GROUP BY 1),
+        p AS (SELECT a.chunk_id AS a, b.chunk_id AS b, count(*) AS k FROM s a JOIN s b USING (s) WHERE a.chunk_id < b.chunk_id GROUP BY ALL)
+        SELECT a AS chunk_a, b AS chunk_b FROM p JOIN n x ON x.chunk_id = a JOIN n y ON y.chunk_id = b WHERE k >= 0.6 * (x.n + y.n - k)""",
+    "p3_found": "SELECT DISTINCT chunk_id FROM code_chunk WHERE length(content) > 4000 AND chunk_id IS NOT NULL",
+    "p6_found": """
+        WITH r AS (SELECT id, any_value(level) AS level, any_value(embedding) AS e FROM index_record WHERE len(embedding) = 64 GROUP BY 1),
+        u AS (SELECT id, level, CAST(e AS DOUBLE[]) AS e, sqrt(list_inner_product(CAST(e AS DOUBLE[]), CAST(e AS DOUBLE[]))) AS n FROM r),
+        p AS (SELECT a.id AS a, b.id AS b, list_inner_product(a.e, b.e) / (a.n * b.n) AS s FROM u a JOIN u b ON a.level = b.level AND a.id <> b.id WHERE a.n > 0 AND b.n > 0),
+        t AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS k FROM p)
+        SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM t WHERE k <= 5 AND s >= 0.9""",
+    "p7_found": f"""
+        WITH i AS (SELECT item_id, {_WORDS.format("text")} AS w FROM eval_item), d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
+        ig AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS g FROM i),
+        dg AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS g FROM d)
+        SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
+}
