@@ -100,19 +100,18 @@ def first_copies(messages: DataFrame, seen: DataFrame, *, queue: str = "queue_na
     The copy that stays is the one with the smallest ``order``. Rows with a null
     or blank identifier are never copies of one another and all stay; a null
     queue is a queue of its own. Input columns are returned as they are, with
-    ``kept`` behind them; repeated rows with one ``order`` value count as copies
+    ``kept`` behind them (in place of a column of that name); repeated rows with one ``order`` value count as copies
     of a message, and of these, too, one stays. Ties cannot arise otherwise.
     """
-    marked = messages.withColumn("__key", normal_id(F.col(key))).withColumn("__order", F.col(order).cast("long"))
-    same = F.col("queue").eqNullSafe(F.col(queue)) & (F.col("key") == F.col("__key"))
-    found = marked.join(seen, same, "left")
-    late = found.where("__key IS NOT NULL AND first_arrival IS NULL").groupBy(F.col(queue).alias("lq"), F.col("__key").alias("lk")).agg(F.min("__order").alias("late_first"))
-    # a late row may also be older in arrival than what the state kept: the smaller of both is the first
-    first = F.coalesce(F.col("first_arrival"), F.col("late_first"))
+    row = F.struct(*[messages[c] for c in messages.columns if c != "kept"]).alias("row")
+    marked = messages.select(row, F.col(queue).alias("q"), normal_id(F.col(key)).alias("k"), F.col(order).cast("long").alias("o"))
+    ledger_ = seen.select(F.col("queue").alias("lq"), F.col("key").alias("lk"), "first_arrival")
+    found = marked.join(ledger_, F.col("lq").eqNullSafe(F.col("q")) & (F.col("lk") == F.col("k")), "left").drop("lq", "lk")
+    late = found.where("k IS NOT NULL AND (first_arrival IS NULL OR o < first_arrival)").groupBy(F.col("q").alias("lq"), F.col("k").alias("lk")).agg(F.min("o").alias("late_first"))
+    first = F.least("first_arrival", "late_first")  # nulls aside
     return (
-        found.join(late, F.col("lq").eqNullSafe(F.col(queue)) & (F.col("lk") == F.col("__key")), "left")
-        .withColumn("kept", F.col("__key").isNull() | (F.col("__order") == first))
-        .select(*[messages[c] for c in messages.columns], "kept")
+        found.join(late, F.col("lq").eqNullSafe(F.col("q")) & (F.col("lk") == F.col("k")), "left")
+        .select("row.*", (F.col("k").isNull() | (F.col("o") == first)).alias("kept"))
     )
 
 
