@@ -70,7 +70,7 @@ _INNER = re.compile(r"[(\[{][^()\[\]{}]*[)\]}]")
 _INNER_SUITE = re.compile("\x02[^\x02\x03]*\x03")
 _SPACE = re.compile(r"[ \t\f\r]+")
 _EDGES = re.compile(r" ?\n[ \n]*")
-_NUMBER = re.compile(r"(?<![\w$])\d[\w.]*")
+_NUMBER = re.compile(r"(?<![\w$])\d(?:\w|\.(?!\.))*")
 _LITERAL_LIST = re.compile(rf"([9{_STRING}])(?:\s*,\s*\1){{3,}}")
 _GROUP_LIST = re.compile(rf"([{chr(_FIRST_GROUP)}-{chr(_LAST)}])(?:\s*,\s*\1){{2,}}")
 _CONTINUES = re.compile(r"\n(?=(?:else|elif|except|catch|finally)\b)")
@@ -93,6 +93,7 @@ class Language:
         self.name, self.grammar = name, Grammar(text)
         self.rules = {"(": round_, "[": square, "{": curly, "\x02": ("Suite", "Suite310", "Suite312", "Cases")}
         self.words = set(re.findall(r'"([A-Za-z_]\w*)"', text)) | set(_CLASSES.get(name, ()))
+        self.signs = set(re.findall(r'"([^"\w]{2,})"', text))
         self.soft = _CONTEXTUAL.get(name, set())
         self.literals = re.compile(_LITERALS[name], re.S)
         hard = "|".join(sorted(self.words, key=lambda w: (-len(w), w)))
@@ -150,6 +151,10 @@ class Language:
                 names = {kind}
             elif kind == "op":
                 names = {"op", _ALSO.get(s, "op")}
+            elif len(s) > 1 and s not in self.signs:  # a sign of other languages
+                out += [frozenset({c, "^"}) if line and not k else frozenset((c,)) for k, c in enumerate(s)]
+                line = False
+                continue
             else:
                 names = {s}
             out.append(frozenset(names | {"^"}) if line else frozenset(names))
