@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import messages, relations, retrieval, scalars, streams
+from millrace.plans import memory, messages, relations, retrieval, scalars, streams
 
-_MODULES = (retrieval, relations, scalars, streams, messages)
+_MODULES = (retrieval, relations, scalars, memory, streams, messages)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

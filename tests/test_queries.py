@@ -28,7 +28,7 @@ def db():
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="needs the test tables")
-@pytest.mark.parametrize("name", list(QUERIES))
+@pytest.mark.parametrize("name", list(SQL))
 def test_equals_sql(spark, db, name):
     df = QUERIES[name](spark, str(DATA))
     columns = sorted(df.columns)
@@ -37,5 +37,10 @@ def test_equals_sql(spark, db, name):
     assert got == sorted(tuple(map(plain, r)) for r in want)
 
 
-def test_every_query_has_sql():
-    assert set(QUERIES) == set(SQL)
+def test_queries_without_sql_are_known():
+    assert set(QUERIES) - set(SQL) == {"code_chunks", "json_structure"}  # tested in test_sources
+
+
+@pytest.mark.parametrize("name", ["code_chunks", "json_structure"])
+def test_runs(spark, name):
+    assert QUERIES[name](spark, str(DATA)).count() > 0
