@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import lines as L
+from millrace.functions import shorten as S
 from millrace.functions import text as T
 from millrace.operators import memory as M
 from millrace.plans.registry import Registry
@@ -158,3 +159,11 @@ def code_chunks(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def json_structure(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "queue_messages").select("id", chunker.json_summary()(F.col("data")).alias("summary"))
+
+
+@query()
+def shortened(spark: SparkSession, d: str) -> DataFrame:
+    """Every stateful shortener over every document: how long the results are."""
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", *[F.length(S.shortened(n)(F.col("text"))).alias(n) for n in S.SHORTENERS])
+
