@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from millrace.session import staged
 
-SUPPORT = 3  # places that make a word, a line shape or an ending known
+SUPPORT = 3  # places that make a word known, and the least for a line form or an ending
+FORM_SHARE, ENDING_SHARE = 0.005, 0.0005  # of all texts, that must hold a line form or an ending
 CONTINUED = 0.2  # an ending may be continued by others in at most this share of its own number
 PHRASE = 12  # an ending (tag line, sign-off, list entry, log result) has at most this many words
 
@@ -36,6 +37,7 @@ _MARK = re.compile(r"(?:�|[\[(<](?:truncated|cut off|cut|snip(?:ped)?|\.\.\.|
 _LOG_LINE = re.compile(r"^\s*(?:\d\d:\d\d:\d\d\s|\[\d+\]\s|(?:PASSED|FAILED|ok|skipped)\s|[\w./-]+:\d+:)")
 _SENTENCE = re.compile(r"(?:^|[.!?。！？`]\s+)([^.!?。！？`]*(?:\.\.\.|…))$")
 _ZERO = re.compile(r"(?:^|\s)0\.$")
+_PLAIN = re.compile(r"[wB9 ,]*\Z")  # a run of words, as prose wrapped over lines has, is no form
 _FENCE = re.compile(r"(?m)^\s*```")
 _FENCED = re.compile(r"```.*?(?:```|\Z)", re.S)
 _WORD = re.compile(r"[^\W\d_]+")
@@ -106,7 +108,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             token = (token.group() if token else "") if len(t) <= 400 or not token or len(token.group()) < 400 else _LAST_WORD.search(t).group()
             words.update(_WORD.findall(t[: len(t) - len(token)]))
             inner = (r for r in _FENCED.sub("```", t).split("\n")[:-1])
-            lines.update({shape(r) for r in (x.rstrip("\r") for x in inner) if r and not _END.search(r[-12:])})
+            shapes = {shape(r) for r in (x.rstrip("\r") for x in inner) if r and not _END.search(r[-12:])}
+            lines.update(x for x in shapes if not _PLAIN.match(x))
             rows.append((h1, h2, len(text), *ending(t), token))
         n, w, s = len(rows), list(words), list(lines)
         extra = len(w) + len(s)
@@ -155,8 +158,6 @@ def truncated(docs: DataFrame) -> DataFrame:
     read = staged(wanted.mapInArrow(_read, f"doc_id {kind}, {_COLUMNS}"), "endings")
     rows = read.where("n IS NULL")
     trie = word_trie(read.where("word IS NOT NULL").select("word", "n"))
-    inner = read.where("line IS NOT NULL").groupBy("line").agg(F.sum("n").alias("places")).where(F.col("places") >= SUPPORT).select(F.col("line").alias("shape"), F.lit(True).alias("inner_known"))
-
     lengths = rows.where("size > 0").groupBy("source", "size").agg(F.count_distinct("h1", "h2").alias("texts"))
     limits = lengths.groupBy("source").agg(F.max(F.struct("size", "texts")).alias("m"), F.sum("texts").alias("all")).where(
         (F.col("m.texts") >= SUPPORT) & (F.col("m.texts") >= 0.005 * F.col("all"))
@@ -170,17 +171,20 @@ def truncated(docs: DataFrame) -> DataFrame:
         .agg(F.max(at).alias("at_limit"), *[F.first(c).alias(c) for c in ("verdict", "shape", "ending", "beginnings", "dots", "token")])
     )
     texts = staged(texts, "texts")
+    total = texts.count()
+    form, close = max(SUPPORT, FORM_SHARE * total), max(SUPPORT, ENDING_SHARE * total)
+    inner = read.where("line IS NOT NULL").groupBy("line").agg(F.sum("n").alias("places")).where(F.col("places") >= form).select(F.col("line").alias("shape"), F.lit(True).alias("inner_known"))
     both = texts.select(F.explode("ending").alias("key"), F.lit(1).alias("own"), F.lit(0).alias("longer")).union(
         texts.select(F.explode("beginnings").alias("key"), F.lit(0).alias("own"), F.lit(1).alias("longer"))
     )
-    endings = both.groupBy("key").agg(F.sum("own").alias("own"), F.sum("longer").alias("longer")).where((F.col("own") >= SUPPORT) & (F.col("longer") <= CONTINUED * F.col("own")))
+    endings = both.groupBy("key").agg(F.sum("own").alias("own"), F.sum("longer").alias("longer")).where((F.col("own") >= close) & (F.col("longer") <= CONTINUED * F.col("own")))
     known = (
         texts.select("h1", "h2", F.posexplode("ending").alias("at", "key"))
         .join(endings.select("key"), "key", "left_semi")
         .groupBy("h1", "h2")
         .agg(F.lit(True).alias("ending_known"), F.max(F.col("at") == 1).alias("literal_known"))
     )
-    dots = texts.where("dots <> ''").groupBy("dots").agg(F.count("*").alias("k")).where(F.col("k") >= SUPPORT).select("dots", F.lit(True).alias("dots_known"))
+    dots = texts.where("dots <> ''").groupBy("dots").agg(F.count("*").alias("k")).where(F.col("k") >= close).select("dots", F.lit(True).alias("dots_known"))
     judged = (
         texts.join(trie.withColumnRenamed("prefix", "token"), "token", "left")
         .join(inner, "shape", "left")
