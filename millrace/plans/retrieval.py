@@ -161,3 +161,21 @@ def _rank_sql() -> str:
 
 
 SQL["page_rank"] = _rank_sql()
+
+_V = "(SELECT embedding FROM index_record WHERE len(embedding) = 64 AND list_sum(list_transform(embedding, lambda x: x * x)) > 0 ORDER BY id LIMIT 1)"
+_SIM = f"CASE WHEN len(a.embedding) = 64 AND list_sum(list_transform(a.embedding, lambda x: x * x)) > 0 THEN {_COS} ELSE 0 END"
+
+
+@query(f"""WITH b AS (SELECT {_V} AS embedding), r AS (SELECT id, any_value(uri) AS uri, any_value(level) AS level, any_value(rtrim(parent_uri, '/')) AS parent, any_value(embedding) AS embedding FROM index_record GROUP BY id),
+  s AS (SELECT a.id, a.uri, a.level, a.parent, {_SIM} AS own FROM r a, b), t AS (SELECT * FROM s ORDER BY own DESC, id LIMIT 30),
+  f AS (SELECT uri, max(own) AS score FROM t WHERE level < 2 GROUP BY 1),
+  c AS (SELECT s.uri, CASE WHEN f.score = 0 THEN own ELSE 0.5 * own + 0.5 * f.score END AS score FROM f JOIN s ON s.parent = rtrim(f.uri, '/')),
+  u AS (SELECT uri, own AS score FROM t WHERE level = 2 UNION ALL SELECT uri, score FROM c WHERE score > 0)
+  SELECT uri, round(max(score), 6) AS score FROM u GROUP BY 1 ORDER BY max(score) DESC, uri LIMIT 10""")
+def hierarchical_search(spark: SparkSession, d: str) -> DataFrame:
+    from millrace.operators import search
+
+    records = table(spark, d, "index_record")
+    fine = F.expr("embedding IS NOT NULL AND size(embedding) = 64 AND exists(embedding, x -> x <> 0)")
+    vector = records.where(fine).orderBy("id").select("embedding").first()[0]
+    return search.hierarchical(records, vector).select("uri", F.round("score", 6).alias("score"))
