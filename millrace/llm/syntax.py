@@ -27,7 +27,7 @@ from millrace.llm.grammars import ALIASES, GRAMMARS
 EXTENSIONS = {"py": "python", "js": "javascript", "ts": "typescript", "go": "go", "java": "java", "rs": "rust", "c": "c"}
 
 _STRING, _CHAR, _LIFETIME, _FIRST_GROUP, _LAST = "", "", "", 0xE100, 0xF8FF
-_BOUND = 400_000  # remembered texts of one kind; beyond it the memory starts anew
+_BOUND = 100_000  # remembered texts of one kind; beyond it the memory starts anew
 
 _DQ, _SQ = r'"(?:\\.|[^"\\\n])*"', r"'(?:\\.|[^'\\\n])*'"
 _SLASHES = r"//[^\n]*|/\*.*?\*/"
