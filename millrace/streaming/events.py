@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.session import work_dir
+from millrace.session import rocksdb_state, work_dir
 
 
 def heartbeat_sessions(spark: SparkSession, path: str, *, key: str = "user_id", at: str = "ts", timeout: str = "5 minutes", delay: str = "40 days") -> DataFrame:
@@ -22,15 +22,16 @@ def heartbeat_sessions(spark: SparkSession, path: str, *, key: str = "user_id",
     beats = spark.readStream.schema(schema).parquet(f"{path}*").select(F.col(key).alias("key"), F.col(at).cast("timestamp").alias("at")).where("at IS NOT NULL")
     spans = beats.withWatermark("at", delay).groupBy("key", F.session_window("at", timeout).alias("w")).agg(F.count("*").alias("beats"))
     # session windows have no update mode: a complete result is written by the last batch
-    query = (
-        spans.select("key", F.unix_micros("w.start").alias("start_us"), F.unix_micros("w.end").alias("end_us"), "beats")
-        .writeStream.outputMode("complete")
-        .option("checkpointLocation", f"{base}/checkpoint")
-        .trigger(availableNow=True)
-        .foreachBatch(lambda batch, i: batch.write.mode("overwrite").parquet(f"{base}/out"))
-        .start()
-    )
-    query.awaitTermination()
+    with rocksdb_state(spark):
+        query = (
+            spans.select("key", F.unix_micros("w.start").alias("start_us"), F.unix_micros("w.end").alias("end_us"), "beats")
+            .writeStream.outputMode("complete")
+            .option("checkpointLocation", f"{base}/checkpoint")
+            .trigger(availableNow=True)
+            .foreachBatch(lambda batch, i: batch.write.mode("overwrite").parquet(f"{base}/out"))
+            .start()
+        )
+        query.awaitTermination()
     out = "key {}, start_us long, end_us long, beats long".format(schema[key].dataType.simpleString())
     try:
         return spark.read.schema(out).parquet(f"{base}/out")

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.session import work_dir
+from millrace.session import rocksdb_state, work_dir
 
 DELAY, BUCKET = "3 days", "7 days"
 _MILLIS_FROM = 100_000_000_000
@@ -76,14 +76,15 @@ def ledger(
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.select("queue", "key", "first_arrival").write.mode("overwrite").parquet(f"{base}/ledger/batch={batch_id}")
 
-    query = (
-        stream.writeStream.outputMode("update")
-        .option("checkpointLocation", f"{base}/checkpoint")
-        .trigger(availableNow=True)
-        .foreachBatch(write)
-        .start()
-    )
-    query.awaitTermination()
+    with rocksdb_state(spark):
+        query = (
+            stream.writeStream.outputMode("update")
+            .option("checkpointLocation", f"{base}/checkpoint")
+            .trigger(availableNow=True)
+            .foreachBatch(write)
+            .start()
+        )
+        query.awaitTermination()
     seen = f"queue {dict(stream.dtypes)['queue']}, key string, first_arrival long"
     try:
         raw = spark.read.schema(seen).parquet(f"{base}/ledger")
