@@ -117,12 +117,12 @@ def _sum(column: str, patterns: tuple[str, ...]) -> str:
     return " + ".join(f"CAST(regexp_matches({column}, '{p}') AS INT)" for p in patterns)
 
 
-@query(r"""WITH t AS (SELECT doc_id, text, array_to_string(string_split(text, chr(10))[1:20], chr(10)) AS head FROM documents),
-  s AS (SELECT doc_id, text, """ + _sum("text", (r"(?i)\b(?:ERROR|SEVERE|FATAL|Exception|Failed)", r"Traceback\s*\(most recent call last\)", r'(?m)^\s*File\s+".*",\s+line\s+\d+', r"(?i)\bFailed to\b")) + " AS e, "
-  + _sum("head", (r"(?m)^\s*(?:def|class|async\s+def|import|from|const|let|var|function)\s+", r"(?m)^\s*(?:if|else|elif|for|while|try|except|catch|switch)\s*[({]?", r"(?m)^\s*#.*", r'\{[\s\n]*"[^"]+":')) + " AS c, "
-  + _sum("head", (r"(?m)^(?:\s*\d+\s+)?\d{4}-\d{2}-\d{2}[\sT]", r"(?m)^\[\s*(?:DEBUG|INFO|WARN|ERROR|FATAL)", r"(?im)^\[(?:summary|trace|failure|debug|info|warn|error|fatal)\]", r"(?m)^(?:failure_count|function_count|expected_source)=", r"(?i)\b(?:log|print|echo|printf|console\.log)\s*\(", r"(?m)^\s*at\s+[\w.$]+\([^)]*\)\s*$")) + " AS l, "
-  + _sum("head", (r"(?im)^(?:Context|Memory|Archive|Overview|Abstract):", r"(?m)^\s*-\s+[\w\s]+:", r"(?m)^\s*##\s+\w+")) + """ AS m FROM t)
-  SELECT doc_id, CASE WHEN coalesce(length(trim(text)), 0) < 10 THEN 'GENERIC' WHEN e >= 2 THEN 'ERROR' WHEN c >= 3 THEN 'CODE' WHEN l >= 2 THEN 'LOG' WHEN m >= 2 THEN 'MEMORY' ELSE 'GENERIC' END AS content_type FROM s""")
+@query(
+    "WITH t AS (SELECT doc_id, text, array_to_string(string_split(text, chr(10))[1:20], chr(10)) AS head FROM documents), s AS (SELECT doc_id, text, "
+    + ", ".join(f"{_sum('text' if k == 'ERROR' else 'head', p)} AS {k[0].lower()}" for k, p in T.CONTENT_PATTERNS.items())
+    + """ FROM t)
+  SELECT doc_id, CASE WHEN coalesce(length(trim(text)), 0) < 10 THEN 'GENERIC' WHEN e >= 2 THEN 'ERROR' WHEN c >= 3 THEN 'CODE' WHEN l >= 2 THEN 'LOG' WHEN m >= 2 THEN 'MEMORY' ELSE 'GENERIC' END AS content_type FROM s"""
+)
 def content_type(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.content_type(F.col("text")).alias("content_type"))
 
