@@ -119,9 +119,9 @@ def nearest(records: DataFrame, vector: Sequence[float], n: int, id_col: str = "
 def page_rank(edges: DataFrame, seeds: DataFrame, *, restart: float = 0.35, rounds: int = 14) -> DataFrame:
     """``(node, rank)``: a walk over weighted ``edges(src, dst, weight)`` that restarts at ``seeds(node, mass)``.
 
-    Mass at nodes without outgoing edges is dropped. Every fourth round is written to the shared folder.
+    Mass at nodes without outgoing weight is dropped. Every fourth round is written to the shared folder.
     """
-    out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
+    out = edges.groupBy("src").agg(F.sum("weight").alias("total")).where("total > 0")
     share = staged(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p")), "shares")
     whole = seeds.agg(F.sum("mass")).first()[0] or 1.0
     start = staged(seeds.select("node", (F.col("mass") / whole).alias("base")), "seeds")

@@ -154,7 +154,7 @@ def page_rank(spark: SparkSession, d: str) -> DataFrame:
 
 def _rank_sql() -> str:
     steps = ["""e AS (SELECT from_uri AS src, to_uri AS dst, max(coalesce(weight, 0.5)) AS weight FROM relation_edge GROUP BY ALL), o AS (SELECT src, sum(weight) AS total FROM e GROUP BY 1),
-      p AS (SELECT e.src, dst, weight / total AS p FROM e JOIN o USING (src)), b AS (SELECT src AS node, total / (SELECT sum(total) FROM o) AS base FROM o), r0 AS MATERIALIZED (SELECT node, base AS rank FROM b)"""]
+      p AS (SELECT e.src, dst, weight / total AS p FROM e JOIN o USING (src) WHERE total > 0), b AS (SELECT src AS node, total / (SELECT sum(total) FROM o) AS base FROM o), r0 AS MATERIALIZED (SELECT node, base AS rank FROM b)"""]
     for i in range(14):
         steps.append(f"r{i + 1} AS MATERIALIZED (SELECT node, 0.35 * coalesce(base, 0) + 0.65 * coalesce(m, 0) AS rank FROM b FULL JOIN (SELECT dst AS node, sum(rank * p) AS m FROM p JOIN r{i} ON p.src = r{i}.node GROUP BY 1) USING (node))")
     return "WITH " + ", ".join(steps) + " SELECT node, round(rank, 9) AS rank FROM r14"

@@ -67,7 +67,7 @@ def test_upsert_and_levels(spark):
 
 
 def test_page_rank_is_bounded(spark):
-    e = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0), ("b", "c", 1.0)], "src string, dst string, weight double")
+    e = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0), ("b", "c", 1.0), ("c", "a", 0.0)], "src string, dst string, weight double")
     s = spark.createDataFrame([("a", 1.0)], "node string, mass double")
     rank = {r["node"]: r["rank"] for r in K.page_rank(e, s).collect()}
     assert rank["a"] > rank["b"] > rank["c"] > 0 and sum(rank.values()) <= 1.0001
