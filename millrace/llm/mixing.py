@@ -119,7 +119,7 @@ def mixed(docs: DataFrame, targets: DataFrame, *, tokenizer: str = TOKENIZER, se
         .join(whole, "mix_name", "left")
         .select(
             "mix_name", "source", "target_share", "rate", "tokens", F.coalesce("drawn_tokens", F.lit(0)).alias("drawn_tokens"),
-            F.coalesce(F.col("drawn_tokens") / F.col("all"), F.lit(0.0)).alias("actual_share"),
+            F.coalesce(F.try_divide("drawn_tokens", "all"), F.lit(0.0)).alias("actual_share"),
         )
     )
     return drawn, report
