@@ -99,7 +99,7 @@ _CL = "string_split(regexp_replace(content, '\\n$', ''), chr(10))"
 
 @query(f"""SELECT chunk_id, md5(array_to_string(list_filter(list_transform({_CL}, lambda x: rtrim(x)), lambda x: NOT regexp_matches(x, '^\\s*(?:#|//|--)')), chr(10))) AS digest FROM code_chunk WHERE NOT contains(content, chr(13))""")
 def comment_filter(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "code_chunk").where(~F.col("content").contains("\r"))
+    c = table(spark, d, "code_chunk")
     kept = F.filter(F.transform(L.lines(F.col("content")), lambda x: F.rtrim(x)), lambda x: ~x.rlike(r"^\s*(?:#|//|--)"))
     return c.select("chunk_id", F.md5(F.array_join(kept, "\n")).alias("digest"))
 
@@ -109,7 +109,7 @@ _SIG = r"^\s*(?:export |pub |final |static |async )*(?:def|class|function|func|f
 
 @query(f"""WITH l AS (SELECT chunk_id, {_CL} AS l FROM code_chunk WHERE NOT contains(content, chr(13))) SELECT chunk_id, array_to_string(list_filter(l, lambda x: regexp_matches(x, '{_SIG}')), chr(10)) AS signatures, len(l) - len(list_filter(l, lambda x: regexp_matches(x, '{_SIG}'))) AS elided FROM l""")
 def signature_filter(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "code_chunk").where(~F.col("content").contains("\r"))
+    c = table(spark, d, "code_chunk")
     s = lambda x: F.filter(x, lambda r: r.rlike(_SIG))
     both = T.let(L.lines(F.col("content")), lambda x: F.struct(F.array_join(s(x), "\n").alias("signatures"), (F.size(x) - F.size(s(x))).alias("elided")))
     return c.select("chunk_id", both.alias("b")).select("chunk_id", "b.signatures", "b.elided")
