@@ -5,10 +5,11 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import leakage, mixing
+from millrace.llm import leakage, mixing, queries
 from millrace.llm import near_duplicates as nd
 from millrace.llm import neighbours as nn
 
@@ -152,3 +153,19 @@ def test_mixing(spark):
     key = ["mix_name", "doc_id", "copy"]
     assert {tuple(r) for r in drawn.select(key).collect()} == {tuple(r) for r in again.select(key).collect()}
     assert mixing.mixed(df.limit(0), targets)[0].count() == 0 and mixing.mixed(df, targets.limit(0))[1].count() == 0
+
+
+def test_pairs_in_a_dense_cluster(spark, tmp_path):
+    """A third of a level in one cluster (median cosine 0.92), too large for a block."""
+    rng = np.random.default_rng(3)
+    n, hot = 30_000, 10_000
+    x = rng.standard_normal((n, 64))
+    x[:hot] = 8 * x[0] / np.linalg.norm(x[0]) + 0.295 * rng.standard_normal((hot, 64))
+    spark.createDataFrame(pd.DataFrame({"id": np.arange(n), "level": 0, "embedding": list(x.astype(np.float32))})).write.parquet(str(tmp_path / "index_record.parquet"))
+    u = x[:hot].astype(np.float32)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    want = {(min(i, j), max(i, j)) for i, best in enumerate(np.argpartition(-s, 5, axis=1)[:, :5].tolist()) for j in best if s[i, j] >= 0.901}
+    got = {tuple(r) for r in queries.p6_found(spark, str(tmp_path)).collect()}
+    assert len(want) > 2 * hot and len(want & got) / len(want) > 0.93
