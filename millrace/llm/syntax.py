@@ -195,8 +195,7 @@ class Language:
                 found = frozenset(r for r in rules if r in self.lists and r in last and self.before.get(r, r) in good)
                 if found:
                     return found
-        kept = [r for k, r in enumerate(rows) if not k or r != rows[k - 1]]
-        return self._parse(rules, "\n".join(kept))
+        return self._parse(rules, "\n".join(rows))
 
     def _group(self, m: re.Match) -> str:
         s = m.group()

@@ -74,6 +74,21 @@ def test_grammars(ext):
         assert not syntax.parses(text, ext), text
 
 
+@pytest.mark.parametrize(
+    "ext,valid,broken",
+    [
+        ("c", "enum E {\n A,\n B,\n C\n};", "enum E {\n A,\n B\n C\n};"),
+        ("c", "int x[] = {\n 1,\n 2,\n 3,\n};", "int x[] = {\n 1,\n 2\n 3\n};"),
+        ("java", "class A { int[] x = {\n 1,\n 2,\n 3\n}; }", "class A { int[] x = {\n 1,\n 2\n 3\n}; }"),
+        ("java", "class A { void f() {\n foo(a)\n .bar(b)\n .bar(c);\n} }", "class A { void f() {\n foo(a)\n foo(a)\n .bar();\n} }"),
+        ("rs", "fn f() { let s = S {\n a: u,\n b: v,\n c: w\n}; }", "fn f() { let s = S {\n a: u,\n b: v\n c: w\n}; }"),
+        ("js", "x = {\n a,\n b,\n c\n}", "x = {\n a,\n b\n c\n}"),
+    ],
+)
+def test_lines_of_one_shape_need_their_separators(ext, valid, broken):
+    assert syntax.parses(valid, ext) and not syntax.parses(broken, ext)
+
+
 PYTHON = [
     "", "x = 1\n", "def f(a, /, b=1, *, c: int = 2, **k) -> int:\n    return a if b else [x async for x in y]\n", "@d(1)\nclass A(B, metaclass=M):\n    x: int = 3\n\n    def f(self): pass\n",
     "try:\n    a\nexcept (B, C) as e:\n    raise D from e\nelse:\n    pass\nfinally:\n    del a[1:2, ::3]\n", "with a as b, c:\n    x = yield\n", "if x:\n  a\nelif y:\n  b\nelse:\n  c\n", "match x:\n    case [1, *r] if r:\n        pass\n    case A(b=1) | None:\n        pass\n",
