@@ -24,7 +24,7 @@ from millrace.llm.text_kernels import list_column, mix
 from millrace.session import staged
 
 CONTAINMENT = 0.6  # share of a file's own lines that vendored files of other repositories hold
-RARE_REPOS = 0.5  # a line in more than this share of all repositories' files says nothing
+RARE_REPOS = 0.5  # a line that files not called vendored hold in more than this share of all repositories (and in more than two) says nothing
 LINE_CHARS = 15
 
 # Folder names that hold third-party code, by wide convention.
@@ -170,6 +170,9 @@ def not_hand_written(chunks: DataFrame) -> DataFrame:
     posted = files.select("repo", "said", F.explode("own").alias("line"))
     # one row a line: whether vendored files hold it, and whether those lie in more than one repository
     index = posted.where("said = 'vendored'").groupBy("line").agg(F.min(F.coalesce("repo", F.lit(""))).alias("low"), F.max(F.coalesce("repo", F.lit(""))).alias("high"))
+    most = max(2, RARE_REPOS * files.select("repo").distinct().count())
+    holders = posted.where("said IS NULL OR said <> 'vendored'").join(index, "line", "left_semi").select("line", "repo").distinct()
+    index = index.join(holders.groupBy("line").count().where(F.col("count") > most), "line", "left_anti")
     other = files.where("said IS NULL AND size(own) > 0").select("repo", "file_path", F.size("own").alias("n"), F.explode("own").alias("line"))
     elsewhere = (F.coalesce("repo", F.lit("")) != F.col("low")) | (F.col("low") != F.col("high"))
     shared = other.join(index, "line").where(elsewhere).groupBy("repo", "file_path", "n").agg(F.count("*").alias("held"))

@@ -159,6 +159,16 @@ def test_origin(spark):
     assert code_origin.not_hand_written(chunks(spark, files).limit(0)).count() == 0
 
 
+def test_lines_of_most_repositories_say_nothing(spark):
+    stock = "".join(f"import java.util.common.Thing{k};\n" for k in range(6))
+    lib = hand(8)
+    files = [("r0", "vendor/a.py", stock + lib), ("r1", "x/copy.py", lib), ("r2", "x/short.java", stock + "class A { }\n")]
+    files += [(f"r{i}", "x/own.java", stock + hand(20 + i)) for i in range(3, 9)]
+    got = {(r["repo"], r["file_path"]): r["reason"] for r in code_origin.not_hand_written(chunks(spark, files)).collect()}
+    assert got.pop(("r0", "vendor/a.py")) == "vendored" and got.pop(("r1", "x/copy.py")) == "vendored"
+    assert set(got.values()) == {None}
+
+
 def test_truncation(spark):
     rng = random.Random(4)
     words = ["harbor", "lantern", "meadow", "quarry", "signal", "timber", "vessel", "window", "anchor", "bridge"]
