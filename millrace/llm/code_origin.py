@@ -2,7 +2,7 @@
 
 Three kinds of evidence, all computed over every file:
 
-* what a file says of itself: its leading comment block and its path;
+* what a file says of itself: its leading and its closing comment block, and its path;
 * an inverted index of rare line hashes: the lines of files that are vendored on
   that evidence, held against the lines of all other files. The containment of a
   file in the vendored lines of *other* repositories is exact (every line of the
@@ -60,6 +60,7 @@ _NUMBER = re.compile(r"\b\d[\w.]*")
 _WORD = re.compile(r"[^\W\d]\w*")
 _BLOCK = re.compile(r"\A(?:﻿?#![^\n]*\n)?\s*((?:(?:#|//)[^\n]*(?:\n\s*|\Z))+|/\*.*?(?:\*/|\Z)|<!--.*?(?:-->|\Z)|(?:\"\"\").*?(?:\"\"\"|\Z))", re.S)
 _FOREIGN = re.compile(r"\A\s*(?:#!(?![^\n]*(?:python|node|deno|rust))|<!DOCTYPE|<\?xml|<html)|(?:^- [^\n]*\n){3}", re.I | re.M)
+_SAYS = ("says_vendored", "says_generated", "ends_vendored", "ends_generated")
 _FIELDS = ("lines", "code", "long", "white", "words", "numbers", "strings", "blob", "text", "foreign")
 
 
@@ -69,8 +70,21 @@ def _hash(values: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(v) for v in values), dtype=np.uint64, count=len(values))
 
 
-def describe(text: str, path: str) -> tuple[list[int], list[str], list[str], str]:
-    """Counts (see ``_FIELDS``), distinct line shapes, distinct telling lines, and the leading comment of a piece of code."""
+def closing(text: str, python: bool) -> str:
+    """The comment that ends a piece of code."""
+    text = text.rstrip()
+    for begin, end in (("<!--", "-->"),) if python else (("/*", "*/"), ("<!--", "-->")):
+        if text.endswith(end) and begin in text:
+            return text[text.rfind(begin) :]
+    rows = text.split("\n")
+    first = len(rows)
+    while first and (not rows[first - 1].strip() or rows[first - 1].lstrip().startswith("#" if python else "//")):
+        first -= 1
+    return "\n".join(rows[first:])
+
+
+def describe(text: str, path: str) -> tuple[list[int], list[str], list[str], str, str]:
+    """Counts (see ``_FIELDS``), distinct line shapes, distinct telling lines, and the leading and the closing comment of a piece of code."""
     python = path.lower().endswith((".py", ".pyi", ".rb", ".sh"))
     head = _BLOCK.match(text)
     blob = strings = 0
@@ -95,32 +109,32 @@ def describe(text: str, path: str) -> tuple[list[int], list[str], list[str], str
         [len(rows), len(code), long, sum(map(code.count, " \t\n\r")), words, numbers, strings, blob, len(text), int(bool(_FOREIGN.search(text)))],
         list(dict.fromkeys(rows)),
         sorted(own),
-        head.group(1)[:4000] if head else "",
+        head.group(1) if head else "",
+        closing(text, python),
     )
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        counts, shapes, lines, heads = [], [], [], []
+        counts, shapes, lines, heads, ends = [], [], [], [], []
         for text, path in zip(batch.column(4).to_pylist(), batch.column(1).to_pylist()):
-            c, s, own, h = describe(text or "", path)
+            c, s, own, h, e = describe(text or "", path)
             counts.append(c)
             shapes.append(s)
             lines.append(own)
             heads.append(h)
+            ends.append(e)
         arrays = [batch.column(i) for i in range(4)]
         for values in (shapes, lines):
             flat = mix(_hash([v for x in values for v in x])) if any(values) else np.zeros(0, np.uint64)
             arrays.append(list_column(flat.view(np.int64), np.concatenate([[0], np.cumsum([len(x) for x in values])]), pa.int64()))
         table = np.array(counts, dtype=np.int64).reshape(-1, len(_FIELDS))
-        arrays += [pa.array([bool(_VENDORED.search(h)) for h in heads]), pa.array([bool(_GENERATED.search(h)) for h in heads])]
+        arrays += [pa.array([bool(says.search(c)) for c in part]) for part in (heads, ends) for says in (_VENDORED, _GENERATED)]
         arrays += [pa.array(table[:, i]) for i in range(len(_FIELDS))]
-        yield pa.RecordBatch.from_arrays(arrays, names=["repo", "file_path", "chunk_id", "start_line", "shapes", "own", "says_vendored", "says_generated", *_FIELDS])
+        yield pa.RecordBatch.from_arrays(arrays, names=["repo", "file_path", "chunk_id", "start_line", "shapes", "own", *_SAYS, *_FIELDS])
 
 
-_SCHEMA = "repo string, file_path string, chunk_id long, start_line int, shapes array<long>, own array<long>, says_vendored boolean, says_generated boolean, " + ", ".join(
-    f"{f} long" for f in _FIELDS
-)
+_SCHEMA = "repo string, file_path string, chunk_id long, start_line int, shapes array<long>, own array<long>, " + ", ".join([f"{f} boolean" for f in _SAYS] + [f"{f} long" for f in _FIELDS])
 
 
 def _composition() -> Column:
@@ -153,8 +167,7 @@ def not_hand_written(chunks: DataFrame) -> DataFrame:
         *[F.sum(f).alias(f) for f in _FIELDS],
         F.size(F.array_distinct(F.flatten(F.collect_list("shapes")))).alias("kinds"),
         F.array_distinct(F.flatten(F.collect_list("own"))).alias("own"),
-        F.min_by("says_vendored", first).alias("says_vendored"),
-        F.min_by("says_generated", first).alias("says_generated"),
+        *[(F.min_by("says_" + c, first) | F.max_by("ends_" + c, first)).alias("says_" + c) for c in ("vendored", "generated")],
     )
     folder = F.split(F.lower("file_path"), "/")
     in_vendor = F.arrays_overlap(F.slice(folder, 1, F.greatest(F.size(folder) - 1, F.lit(0))), F.array(*map(F.lit, VENDOR_FOLDERS)))

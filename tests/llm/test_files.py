@@ -169,6 +169,18 @@ def test_lines_of_most_repositories_say_nothing(spark):
     assert set(got.values()) == {None}
 
 
+def test_marks_late_in_a_licence_or_in_a_closing_comment(spark):
+    licence = "".join(f"# clause {k} of a long text that says little\n" for k in range(150))
+    rows = [
+        (1, "r", "x/a.py", 1, None, licence + "# Code generated by tool. DO NOT EDIT.\n" + hand(31), None, None, 1, ""),
+        (2, "r", "x/b.py", 1, None, hand(32), None, None, 1, ""), (3, "r", "x/b.py", 99, None, hand(33) + "\n\n# Code generated by tool.\n# DO NOT EDIT.\n", None, None, 1, ""),
+        (4, "r", "x/c.js", 1, None, "function f(a) {\n  return g(a) + 1;\n}\n/* Code generated by tool. DO NOT EDIT. */", None, None, 1, ""),
+        (5, "r", "x/d.py", 1, None, hand(34) + "\n# Code generated by tool. DO NOT EDIT.\n", None, None, 1, ""), (6, "r", "x/d.py", 99, None, hand(35), None, None, 1, ""),
+    ]
+    got = {r["file_path"]: r["reason"] for r in code_origin.not_hand_written(spark.createDataFrame(rows, PIECE)).collect()}
+    assert got == {"x/a.py": "generated", "x/b.py": "generated", "x/c.js": "generated", "x/d.py": None}
+
+
 def test_truncation(spark):
     rng = random.Random(4)
     words = ["harbor", "lantern", "meadow", "quarry", "signal", "timber", "vessel", "window", "anchor", "bridge"]
