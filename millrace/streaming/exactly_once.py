@@ -15,7 +15,7 @@ an event time, and identifiers that came again after their state expired.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.session import rocksdb_state, work_dir
@@ -102,17 +102,22 @@ def first_copies(messages: DataFrame, seen: DataFrame, *, queue: str = "queue_na
     or blank identifier are never copies of one another and all stay; a null
     queue is a queue of its own. Input columns are returned as they are, with
     ``kept`` behind them (in place of a column of that name); repeated rows with one ``order`` value count as copies
-    of a message, and of these, too, one stays. Ties cannot arise otherwise.
+    of a message, and of these, too, one stays, chosen by a hash of the row. A null ``order`` comes last.
     """
     row = F.struct(*[messages[c] for c in messages.columns if c != "kept"]).alias("row")
     marked = messages.select(row, F.col(queue).alias("q"), normal_id(F.col(key)).alias("k"), F.col(order).cast("long").alias("o"))
     ledger_ = seen.select(F.col("queue").alias("lq"), F.col("key").alias("lk"), "first_arrival")
     found = marked.join(ledger_, F.col("lq").eqNullSafe(F.col("q")) & (F.col("lk") == F.col("k")), "left").drop("lq", "lk")
     late = found.where("k IS NOT NULL AND (first_arrival IS NULL OR o < first_arrival)").groupBy(F.col("q").alias("lq"), F.col("k").alias("lk")).agg(F.min("o").alias("late_first"))
-    first = F.least("first_arrival", "late_first")  # nulls aside
+    first = F.least("first_arrival", "late_first")  # nulls aside; null where every order of a message is
+    # rows of one message with the first order are numbered; all others are spread by their hash
+    tied = F.col("k").isNotNull() & F.col("o").eqNullSafe(first)
+    numbered = F.row_number().over(Window.partitionBy("q", "k", F.when(~F.col("tied"), F.col("h"))).orderBy("h"))
+    hashed = F.xxhash64(*[F.col("row")[f.name] for f in messages.schema if f.name != "kept" and "map<" not in f.dataType.simpleString()])
     return (
         found.join(late, F.col("lq").eqNullSafe(F.col("q")) & (F.col("lk") == F.col("k")), "left")
-        .select("row.*", (F.col("k").isNull() | (F.col("o") == first)).alias("kept"))
+        .select("row", "q", "k", tied.alias("tied"), hashed.alias("h"))
+        .select("row.*", (F.col("k").isNull() | (F.col("tied") & (numbered == 1))).alias("kept"))
     )
 
 

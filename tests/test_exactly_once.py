@@ -48,6 +48,17 @@ def test_copies_over_many_batches(spark, tmp_path):
     assert {tuple(r) for r in eo.repeated(messages.drop("kept"), seen).collect()} == {(q, k) for q, k in repeated}
 
 
+def test_one_row_stays_of_equal_or_null_orders(spark, tmp_path):
+    t = 1_740_000_000
+    rows = [(1, "a", "m1", t, "x"), (1, "a", "m1", t, "x"), (1, "a", "m1", t, "y"), (None, "a", "m2", t, "x"), (None, "a", "m2", t, "y"), (None, None, "m3", None, "x"), (None, "a", "m4", t, "x"), (5, "a", "m4", t, "x"), (6, "a", "", t, "x"), (6, "a", "", t, "x")]
+    path = write(spark, rows, str(tmp_path / "in"), 3)
+    messages, seen = spark.read.parquet(path).drop("kept"), eo.ledger(spark, path)
+    out = eo.first_copies(messages, seen)
+    assert out.count() == len(rows) and out.where("kept IS NULL").count() == 0
+    assert sorted((r["message_id"], r["id"]) for r in out.where("kept").collect()) == [("", 6), ("", 6), ("m1", 1), ("m2", None), ("m3", None), ("m4", 5)]
+    assert {r["message_id"] for r in eo.repeated(messages, seen).collect()} == {"m1", "m2", "m4"}
+
+
 def test_empty_table(spark, tmp_path):
     path = write(spark, [], str(tmp_path / "in"))
     seen = eo.ledger(spark, path)
