@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.functions import fixed
 from millrace.functions import text as T
 
 
@@ -54,18 +58,18 @@ def critical_first(text: Column, most: int) -> Column:
 
     def cut(L: Column) -> Column:
         middle = F.slice(L, third + 1, F.greatest(F.size(L) - 2 * third, F.lit(0)))
-        telling = F.slice(F.filter(middle, lambda x: F.trim(x).rlike(T.CRITICAL_LINE)), 1, most - 2 * third)
+        telling = F.slice(F.filter(middle, lambda x: T.begins(x, fixed.CRITICAL_LINE)), 1, most - 2 * third)
         return F.when(F.size(L) <= most, text).otherwise(F.array_join(F.concat(F.slice(L, 1, third), telling, F.slice(L, F.size(L) - third + 1, third)), "\n"))
 
     return T.let(lines(text), cut)
 
 
 def error_lines(text: Column, most: int = 10) -> Column:
-    return F.slice(F.transform(F.filter(lines(text), lambda x: x.rlike(T.ERROR_ANYWHERE)), lambda x: F.trim(x)), 1, most)
+    return F.slice(F.transform(F.filter(lines(text), lambda x: T.matches(x, fixed.ERROR_ANYWHERE)), lambda x: F.trim(x)), 1, most)
 
 
 def warning_lines(text: Column, most: int = 10) -> Column:
-    found = F.filter(lines(text), lambda x: F.lower(x).contains("warning") | F.lower(x).contains("warn:"))
+    found = F.filter(lines(text), lambda x: reduce(lambda a, b: a | b, [F.lower(x).contains(w) for w in fixed.WARNING_WORDS]))
     return F.slice(F.transform(found, lambda x: F.trim(x)), 1, most)
 
 
@@ -80,8 +84,9 @@ def summary(text: Column, most: int = 50) -> Column:
     return T.let(lines(text), cut)
 
 
-def count_lines(text: Column, pattern: str) -> Column:
-    return F.size(F.filter(lines(text), lambda x: F.trim(x).rlike(pattern)))
+def count_lines(text: Column, patterns: Sequence[str]) -> Column:
+    """How many lines begin with one of the patterns."""
+    return F.size(F.filter(lines(text), lambda x: T.begins(x, patterns)))
 
 
 def drop_lines(text: Column, drop: str, keep: str = "(?!)") -> Column:
@@ -91,6 +96,6 @@ def drop_lines(text: Column, drop: str, keep: str = "(?!)") -> Column:
 
 def distinct_warnings(text: Column) -> Column:
     """Each warning line once for its key (versions and paths aside); all other lines stay."""
-    key = lambda x: F.when(F.trim(x).rlike(T.WARNING_LINE), T.warning_key(F.trim(x)))
+    key = lambda x: F.when(T.begins(x, fixed.WARNING_LINE), T.warning_key(F.trim(x)))
     first = lambda L, keys: F.filter(L, lambda x, i: F.get(keys, i).isNull() | (F.array_position(keys, F.get(keys, i)) == i + 1))
     return T.let(lines(text), lambda L: T.let(F.transform(L, key), lambda keys: F.array_join(first(L, keys), "\n")))

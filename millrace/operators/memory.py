@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-#: tier: (least tokens, most tokens, keeps its least share first, takes what is left), in order of claim
-TIERS = {"identity": (500, 5_000, True, False), "session_state": (1_000, 10_000, True, False), "archive": (500, 40_000, False, False), "working_set": (0, 20_000, False, True)}
+from millrace.functions import fixed
 
 
 def plan_writes(candidates: DataFrame, existing: DataFrame, keys: Sequence[str], digest: str) -> DataFrame:
@@ -31,7 +30,7 @@ def write_key(uri: Column, action: Column, session: Column, digest: Column) -> C
     return F.sha2(F.concat_ws(":", uri, action, session, digest), 256)
 
 
-def allocate(total: Column, tiers: dict[str, tuple[int, int, bool, bool]] = TIERS) -> dict[str, Column]:
+def allocate(total: Column, tiers: dict[str, tuple[int, int, bool, bool]] = fixed.BUDGET_TIERS) -> dict[str, Column]:
     """Tokens of each tier: guaranteed least shares first, then up to each tier's most in order, then the rest to the one that expands."""
     left, got = F.greatest(total, F.lit(0)), {}
     for name, (least, _, kept, _) in tiers.items():

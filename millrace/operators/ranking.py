@@ -9,22 +9,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from millrace.functions import fixed
 from millrace.functions import text as T
 from millrace.session import staged
 
-#: field: (weight, length normalisation)
-FIELDS = {"symbol": (4.5, 0.05), "signature": (2.6, 0.20), "path": (1.2, 0.20), "body": (0.45, 0.65)}
-KINDS = {"function": "function def fn method", "async_function": "async function def method", "type": "class type struct interface enum", "code": "code snippet"}
-ROUTES = {"embedding": 0.33, "bm25": 0.17, "ctags": 0.17, "graph": 0.33}
-
-
 def _query_tokens(query: str) -> list[str]:
     import re
 
-    return [w.lower() for w in re.findall(r"[A-Za-z_][A-Za-z0-9_]+", query) if w.lower() not in T.STOPWORDS]
+    return [w.lower() for w in re.findall(r"[A-Za-z_][A-Za-z0-9_]+", query) if w.lower() not in fixed.STOPWORDS]
 
 
-def bm25f(docs: DataFrame, query: str, fields: dict[str, tuple[float, float]] = FIELDS, k1: float = 1.5) -> DataFrame:
+def bm25f(docs: DataFrame, query: str, fields: dict[str, tuple[float, float]] = fixed.BM25_FIELDS, k1: float = 1.5) -> DataFrame:
     """``(doc, score)`` of documents with a positive score; ``docs`` has a column ``doc`` and one for each field.
 
     Only the terms of the query are counted, inside the row, so what is shuffled is a handful of numbers: one pass
@@ -63,7 +58,7 @@ def symbol_score(symbol: Column, signature: Column, path: Column, kind: Column,
     score = F.lit(0.0)
     for t in terms:
         score = score + F.when(s == t, 3.0).when(s.contains(t), 1.5).otherwise(0.0) + F.when(g.contains(t), 1.0).otherwise(0.0) + F.when(p.contains(t), 0.6).otherwise(0.0)
-    named = [k for k, words in KINDS.items() if set(words.split()) & set(terms)]
+    named = [k for k, words in fixed.KIND_WORDS.items() if set(words) & set(terms)]
     return score + F.when(F.coalesce(kind, F.lit("code")).isin(named or [""]), 0.8).otherwise(0.0)
 
 
@@ -73,7 +68,7 @@ def top(scored: DataFrame, n: int, id_col: str = "doc") -> DataFrame:
     return best.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), F.asc(id_col))))
 
 
-def reciprocal_rank_fusion(routes: dict[str, DataFrame], weights: dict[str, float] = ROUTES, k: int = 60, id_col: str = "doc") -> DataFrame:
+def reciprocal_rank_fusion(routes: dict[str, DataFrame], weights: dict[str, float] = fixed.ROUTE_WEIGHTS, k: int = 60, id_col: str = "doc") -> DataFrame:
     """Sum of weight / (k + rank) over the routes' ranked lists."""
     parts = [df.select(id_col, F.lit(weights.get(n, 0.0)).alias("w"), "rank") for n, df in routes.items()]
     both = parts[0]

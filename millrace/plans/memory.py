@@ -10,6 +10,7 @@ from millrace.functions import shorten as S
 from millrace.functions import text as T
 from millrace.operators import memory as M
 from millrace.plans.registry import Registry
+from millrace.plans.scalars import _LINES
 from millrace.sources import chunker
 from millrace.sources.tables import table
 
@@ -94,10 +95,10 @@ def folder_rename(spark: SparkSession, d: str) -> DataFrame:
     return p.select("path", M.renamed(F.col("path"), "harborline/ctxcore", "moved/core").alias("renamed"), M.mount_of(F.col("path"), ["harborline", "harborline/ctxcore/lib"]).alias("mount"))
 
 
-_CL = "string_split(regexp_replace(content, '\\n$', ''), chr(10))"
+_CL = _LINES.format("content")
 
 
-@query(f"""SELECT chunk_id, md5(array_to_string(list_filter(list_transform({_CL}, lambda x: rtrim(x)), lambda x: NOT regexp_matches(x, '^\\s*(?:#|//|--)')), chr(10))) AS digest FROM code_chunk WHERE NOT contains(content, chr(13))""")
+@query(f"""SELECT chunk_id, md5(array_to_string(list_filter(list_transform({_CL}, lambda x: rtrim(x)), lambda x: NOT regexp_matches(x, '^\\s*(?:#|//|--)')), chr(10))) AS digest FROM code_chunk""")
 def comment_filter(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "code_chunk")
     kept = F.filter(F.transform(L.lines(F.col("content")), lambda x: F.rtrim(x)), lambda x: ~x.rlike(r"^\s*(?:#|//|--)"))
@@ -107,7 +108,7 @@ def comment_filter(spark: SparkSession, d: str) -> DataFrame:
 _SIG = r"^\s*(?:export |pub |final |static |async )*(?:def|class|function|func|fn|interface|struct|enum|type|impl)\b"
 
 
-@query(f"""WITH l AS (SELECT chunk_id, {_CL} AS l FROM code_chunk WHERE NOT contains(content, chr(13))) SELECT chunk_id, array_to_string(list_filter(l, lambda x: regexp_matches(x, '{_SIG}')), chr(10)) AS signatures, len(l) - len(list_filter(l, lambda x: regexp_matches(x, '{_SIG}'))) AS elided FROM l""")
+@query(f"""WITH l AS (SELECT chunk_id, {_CL} AS l FROM code_chunk) SELECT chunk_id, array_to_string(list_filter(l, lambda x: regexp_matches(x, '{_SIG}')), chr(10)) AS signatures, len(l) - len(list_filter(l, lambda x: regexp_matches(x, '{_SIG}'))) AS elided FROM l""")
 def signature_filter(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "code_chunk")
     s = lambda x: F.filter(x, lambda r: r.rlike(_SIG))

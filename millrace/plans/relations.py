@@ -129,10 +129,10 @@ def text_dedup(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("doc_id").alias("doc_id"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"), F.count("*").alias("copies"))
 
 
-@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents WHERE source = 'session_archive'), r AS (SELECT doc_id, regexp_extract(l, '^(user|assistant|tool|system): ', 1) AS role, l FROM l)
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents), r AS (SELECT doc_id, regexp_extract(l, '^(user|assistant|tool|system): ', 1) AS role, l FROM l)
   SELECT doc_id, role, count(*) AS turns, sum(length(l)) AS chars FROM r WHERE role <> '' GROUP BY ALL""")
 def role_counts(spark: SparkSession, d: str) -> DataFrame:
-    l = table(spark, d, "documents").where("source = 'session_archive'").select("doc_id", F.explode(F.split("text", "\n")).alias("l"))
+    l = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("l"))
     return l.select("doc_id", F.regexp_extract("l", "^(user|assistant|tool|system): ", 1).alias("role"), F.length("l").alias("n")).where("role <> ''").groupBy("doc_id", "role").agg(F.count("*").alias("turns"), F.sum("n").alias("chars"))
 
 

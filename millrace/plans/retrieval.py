@@ -17,7 +17,8 @@ query, QUERIES, SQL = R.query, R.QUERIES, R.SQL
 
 ASK = "stale cache snapshot worker retry bucket cache"
 CODE_ASK = "publish gather function bucket_index archive"
-_ASKED = K._query_tokens(ASK)
+_FIELDS = {"symbol": (4.5, 0.05), "signature": (2.6, 0.2), "path": (1.2, 0.2), "body": (0.45, 0.65)}
+_KINDS = {"function": "function def fn method", "async_function": "async function def method", "type": "class type struct interface enum", "code": "code snippet"}
 _VECTOR = "(SELECT embedding FROM embeddings WHERE vec_id = 0)"
 
 
@@ -63,7 +64,7 @@ def _code_docs(spark: SparkSession, d: str) -> DataFrame:
     return rows.dropDuplicates(["doc"])
 
 
-@query(f"SELECT doc, round(score, 6) AS score FROM ({_bm25_sql(_CODE_DOCS, K.FIELDS, CODE_ASK)})")
+@query(f"SELECT doc, round(score, 6) AS score FROM ({_bm25_sql(_CODE_DOCS, _FIELDS, CODE_ASK)})")
 def bm25f(spark: SparkSession, d: str) -> DataFrame:
     return K.bm25f(_code_docs(spark, d), CODE_ASK).select("doc", F.round("score", 6).alias("score"))
 
@@ -73,7 +74,7 @@ def _symbol_sql() -> str:
     parts = []
     for t in terms:
         parts.append(f"CASE WHEN s = '{t}' THEN 3.0 WHEN contains(s, '{t}') THEN 1.5 ELSE 0 END + CASE WHEN contains(g, '{t}') THEN 1.0 ELSE 0 END + CASE WHEN contains(p, '{t}') THEN 0.6 ELSE 0 END")
-    named = [k for k, w in K.KINDS.items() if set(w.split()) & set(terms)] or [""]
+    named = [k for k, w in _KINDS.items() if set(w.split()) & set(terms)] or [""]
     kind = "CASE WHEN coalesce(symbol_kind, 'code') IN (" + ", ".join(f"'{k}'" for k in named) + ") THEN 0.8 ELSE 0 END"
     return f"""SELECT doc, CAST(round({' + '.join(parts)} + {kind}, 6) AS DOUBLE) AS score FROM (SELECT chunk_id AS doc, lower(coalesce(any_value(symbol), '')) AS s, lower(coalesce(any_value(signature), '')) AS g,
       lower(any_value(file_path)) AS p, any_value(symbol_kind) AS symbol_kind FROM code_chunk GROUP BY chunk_id)"""
@@ -86,7 +87,7 @@ def symbol_score(spark: SparkSession, d: str) -> DataFrame:
     return _code_docs(spark, d).select("doc", F.round(s, 6).alias("score")).where("score > 0")
 
 
-@query(f"""WITH b AS (SELECT doc, round(score, 6) AS score FROM ({_bm25_sql(_CODE_DOCS, K.FIELDS, CODE_ASK)})), br AS (SELECT doc, row_number() OVER (ORDER BY score DESC, doc) AS rank FROM b QUALIFY rank <= 20),
+@query(f"""WITH b AS (SELECT doc, round(score, 6) AS score FROM ({_bm25_sql(_CODE_DOCS, _FIELDS, CODE_ASK)})), br AS (SELECT doc, row_number() OVER (ORDER BY score DESC, doc) AS rank FROM b QUALIFY rank <= 20),
   s AS (SELECT * FROM ({_symbol_sql()}) WHERE score > 0), sr AS (SELECT doc, row_number() OVER (ORDER BY score DESC, doc) AS rank FROM s QUALIFY rank <= 20)
   SELECT doc, round(sum(w), 9) AS score FROM (SELECT doc, 0.17 / (60 + rank) AS w FROM br UNION ALL SELECT doc, 0.17 / (60 + rank) FROM sr) GROUP BY doc""")
 def code_search(spark: SparkSession, d: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Queries by lines take every row whatever its line ends; their SQL, which leaves out texts with a carriage return, runs on normalised texts."""
+"""Queries by lines take every row whatever its line ends, and so does their SQL."""
 
 from pathlib import Path
 
@@ -35,5 +35,28 @@ def test_documents_with_any_line_end(spark, tmp_path, name):
     db = duckdb.connect()
     db.execute(f"CREATE VIEW documents AS SELECT * REPLACE ({NORMAL.format('text')} AS text) FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     got = QUERIES[name](spark, str(tmp_path)).select("doc_id", "digest").collect()
-    assert rows(r for r in got if r["doc_id"] < 4) == rows(db.execute(f"SELECT doc_id, digest FROM ({SQL[name]})").fetchall())
+    assert rows(got) == rows(db.execute(f"SELECT doc_id, digest FROM ({SQL[name]})").fetchall())
     assert [r["digest"] for r in got if r["doc_id"] == 4] == [None]
+
+
+@pytest.mark.parametrize("name", ["head_tail", "critical_first", "line_summary", "line_runs", "distinct_warnings", "noise_drop", "line_kinds"])
+def test_sql_takes_any_line_end_itself(spark, tmp_path, name):
+    texts = [(1, "\n".join(LOG)), (2, "\r\n".join(LOG) + "\r\n"), (3, "\r".join(LOG[::-1])), (4, "a\x0b\n\x85b c")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    df = QUERIES[name](spark, str(tmp_path))
+    assert rows(df.collect()) == rows(db.execute(f"SELECT {', '.join(df.columns)} FROM ({SQL[name]})").fetchall())
+
+
+def test_code_paths(spark):
+    from pyspark.sql import functions as F
+
+    from millrace.functions import text as T
+
+    paths = {
+        "a/b.py": True, "a\\b.HPP": True, "x.h": True, "/a.py": False, "a/../b.py": False, "a/.cache-1/b.py": False, ".cache/b.py": False, "env/b.py": False, ".turbo/b.py": False,
+        "target/b.rs": True, "vendor/b.go": True, "a/.py": False, "a.txt": False, "": False, "a/env.py": True, None: False,
+    }
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    assert {r["p"]: r["c"] for r in df.select("p", T.is_code_path(F.col("p")).alias("c")).collect()} == paths

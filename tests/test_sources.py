@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from millrace.functions import fixed
 from millrace.operators import memory as M
 from millrace.sources import chunker
 
@@ -49,7 +50,7 @@ def test_outline(spark):
 def test_budget(spark):
     df = spark.createDataFrame([(-5,), (0,), (700,), (1400,), (20_000,), (500_000,)], "t int")
     for r in df.select("t", *[c.alias(n) for n, c in M.allocate(F.col("t")).items()]).collect():
-        assert sum(r[n] for n in M.TIERS) == max(0, r["t"])
+        assert sum(r[n] for n in fixed.BUDGET_TIERS) == max(0, r["t"])
     assert (r["identity"], r["archive"], r["working_set"]) == (5000, 40000, 445000)
 
 
