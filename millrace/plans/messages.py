@@ -4,18 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.sources.tables import table
 from millrace.streaming import exactly_once as eo
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = eo.ledger(spark, f"{sf_dir}/queue_messages.parquet")
-    return eo.repeated(table(spark, sf_dir, "queue_messages"), seen)
+    return eo.repeated(spark, f"{sf_dir}/queue_messages.parquet")
 
 
 def p5_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = eo.ledger(spark, f"{sf_dir}/queue_messages.parquet")
-    return eo.first_copies(table(spark, sf_dir, "queue_messages"), seen).where("kept").drop("kept")
+    return eo.unique_messages(spark, f"{sf_dir}/queue_messages.parquet")
 
 
 _TRIM = r"regexp_replace(message_id, '^\s+|\s+$', '', 'g')"

@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.session import rocksdb_state, work_dir
+from millrace.session import exists, rocksdb_state, work_dir
+from millrace.sources.tables import exactly
 
 
 def heartbeat_sessions(spark: SparkSession, path: str, *, key: str = "user_id", at: str = "ts", timeout: str = "5 minutes", delay: str = "40 days") -> DataFrame:
@@ -19,7 +20,7 @@ def heartbeat_sessions(spark: SparkSession, path: str, *, key: str = "user_id",
     """
     base = work_dir(spark, "heartbeats")
     schema = spark.read.parquet(path).schema
-    beats = spark.readStream.schema(schema).parquet(f"{path}*").select(F.col(key).alias("key"), F.col(at).cast("timestamp").alias("at")).where("at IS NOT NULL")
+    beats = spark.readStream.schema(schema).parquet(exactly(path)).select(F.col(key).alias("key"), F.col(at).cast("timestamp").alias("at")).where("at IS NOT NULL")
     spans = beats.withWatermark("at", delay).groupBy("key", F.session_window("at", timeout).alias("w")).agg(F.count("*").alias("beats"))
     # session windows have no update mode: a complete result is written by the last batch
     with rocksdb_state(spark):
@@ -33,12 +34,9 @@ def heartbeat_sessions(spark: SparkSession, path: str, *, key: str = "user_id",
         )
         query.awaitTermination()
     out = "key {}, start_us long, end_us long, beats long".format(schema[key].dataType.simpleString())
-    try:
-        return spark.read.schema(out).parquet(f"{base}/out")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    if not exists(spark, f"{base}/out"):  # an empty input writes no batch
         return spark.createDataFrame([], out)
+    return spark.read.schema(out).parquet(f"{base}/out")
 
 
 def alive_at(last: DataFrame, now_us: int, timeout_s: int = 300) -> DataFrame:
