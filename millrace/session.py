@@ -9,6 +9,7 @@ import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -83,8 +84,14 @@ _STATE = {
 def rocksdb_state(spark: SparkSession) -> Iterator[None]:
     """Streams started inside keep their state in RocksDB, on the executors' disks instead of their heaps, and write its
     changes only. What has expired by the last batch is dropped by the next one that has data."""
-    before = {k: spark.conf.get(k, None) for k in _STATE}
-    for k, v in _STATE.items():
+    with _settings(spark, _STATE):
+        yield
+
+
+@contextmanager
+def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
         spark.conf.set(k, v)
     try:
         yield
@@ -96,17 +103,24 @@ def rocksdb_state(spark: SparkSession) -> Iterator[None]:
                 spark.conf.set(k, v)
 
 
+_written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    The shuffle files of the write are removed when it is done, as nothing reads them again.
+    """
     path = work_dir(df.sparkSession, name)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    with _settings(df.sparkSession, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _written[out] = path
+    return out
 
 
 def unstage(df: DataFrame) -> None:
-    """Delete the files behind a table that ``staged`` returned and no later step reads."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/millrace/" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+    """Delete the files behind a table that ``staged`` returned and no later step reads; other tables stay untouched."""
+    if (folder := _written.pop(df, None)) is not None:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
