@@ -50,21 +50,21 @@ def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = nn.neighbours(table(spark, sf_dir, "index_record"), 5, min_cosine=0.90, degree=24, cuttings=16)
+    near = nn.neighbours(table(spark, sf_dir, "index_record"), 5, min_cosine=0.90, degree=16, cuttings=16)
     return near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
 
 
 def p6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = table(spark, sf_dir, "index_record")
-    uris = records.select("id", "uri", "level").dropDuplicates(["id"])
-    near = nn.neighbours(records, 5, degree=24, cuttings=16, rounds=4)
+    uris = records.groupBy("id").agg(F.min_by(F.struct("uri", "level"), F.struct("level", "uri")).alias("r")).select("id", "r.uri", "r.level")
+    near = nn.neighbours(records, 5, degree=16, cuttings=8)
     return near.join(uris.select(F.col("id").alias("neighbour"), "uri", "level"), "neighbour").select("id", "level", "rank", "neighbour", "uri", "cosine")
 
 
 def p6_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.lit(0).alias("level"), "embedding")
     members, nodes = nn.prepare(records)
-    links = nn.graph(nodes, degree=24, cuttings=8, rounds=3)
+    links = nn.graph(nodes, degree=24, cuttings=4, rounds=nn.ROUNDS)
     asked = members.where("id % 20 = 0").join(nodes, "node").select(F.col("id").alias("qid"), "level", "code")
     found = nn.search(nodes, links, asked, 6)
     return found.join(members, "node").select(F.col("qid").alias("vec_id"), F.col("id").alias("neighbour"), "sim").where("vec_id <> neighbour")
