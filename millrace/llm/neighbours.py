@@ -19,7 +19,7 @@ Queries that are no nodes walk the graph greedily from a few entry nodes.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +36,7 @@ SAMPLE = 10  # edges of a node that take part in a round, forward; as many, on a
 TOLD = 4  # better pairs that one meeting of neighbours reports for each of them
 SALTS = 64
 PLANES = 40
+TOGETHER = 4  # cuttings
 
 
 def usable(embedding: Column, dimensions: int = DIMENSIONS) -> Column:
@@ -73,13 +74,13 @@ def _cosines(v: np.ndarray, r: np.ndarray, w: np.ndarray, q: np.ndarray) -> np.n
     return (v @ w.T) * (r[:, None] * q[None, :])
 
 
-@lru_cache(maxsize=8)
-def _planes(seed: int, cuttings: int, dimensions: int) -> np.ndarray:
-    return np.random.default_rng(seed).standard_normal((cuttings, PLANES, dimensions)).astype(np.float32)
+@lru_cache(maxsize=256)
+def _planes(seed: int, cutting: int, dimensions: int) -> np.ndarray:
+    return np.random.default_rng((seed, cutting)).standard_normal((PLANES, dimensions)).astype(np.float32)
 
 
-def _cells(bits: dict[int, int], cuttings: int, seed: int):
-    """``(node, level, cell, code)``, a row for each cutting: the sides of its first hyperplanes on which a node lies."""
+def _cells(bits: dict[int, int], cuttings: range, seed: int, codes: bool):
+    """``(node, level, cell[, code])``, a row for each cutting: the sides of its first hyperplanes on which a node lies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,52 +89,48 @@ def _cells(bits: dict[int, int], cuttings: int, seed: int):
                 continue
             v, _ = _unpack(batch.column(2))
             width = np.array([bits.get(x, 0) for x in batch.column(1).to_pylist()])
-            for t in range(cuttings):
-                signs = (v @ _planes(seed, cuttings, v.shape[1])[t].T > 0).astype(np.int64) << np.arange(PLANES)
-                signs[np.arange(PLANES)[None, :] >= width[:, None]] = 0
-                cell = signs.sum(axis=1) * cuttings + t
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell), batch.column(2)], names=["node", "level", "cell", "code"])
+            used = int(width.max())
+            for t in cuttings:
+                signs = (v @ _planes(seed, t, v.shape[1])[:used].T > 0).astype(np.int64) << np.arange(used)
+                signs[np.arange(used)[None, :] >= width[:, None]] = 0
+                columns = [batch.column(0), batch.column(1), pa.array(signs.sum(axis=1) << 10 | t), batch.column(2)]
+                yield pa.RecordBatch.from_arrays(columns if codes else columns[1:3], names=["node", "level", "cell", "code"] if codes else ["level", "cell"])
 
     return run
 
 
-def _along(code: pa.Array, cell: pa.Array, cuttings: int, seed: int, width: int) -> np.ndarray:
+def _along(code: pa.Array, cell: pa.Array, seed: int, width: int) -> np.ndarray:
     """The vectors' extent along ``width`` further directions, others in each cutting."""
     v, r = _unpack(code)
-    planes, cut = _planes(seed + 1, cuttings, v.shape[1])[:, :width], cell.to_numpy() % cuttings
+    cut = cell.to_numpy() & 1023
     out = np.empty((len(v), width), dtype=np.float32)
-    for t in range(cuttings):
-        out[cut == t] = (v[cut == t] * r[cut == t][:, None]) @ planes[t].T
+    for t in np.unique(cut).tolist():
+        out[cut == t] = (v[cut == t] * r[cut == t][:, None]) @ _planes(seed + 1, t, v.shape[1])[:width].T
     return out
 
 
-def _projections(cuttings: int, seed: int, width: int):
+def _projections(seed: int, width: int):
     """Rows ``(level, cell, code)`` of large cells to ``(level, cell, p0, p1, ...)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                side = _along(batch.column(2), batch.column(1), cuttings, seed, width)
+                side = _along(batch.column(2), batch.column(1), seed, width)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(side[:, i]) for i in range(width)]], names=["level", "cell", *[f"p{i}" for i in range(width)]])
 
     return run
 
 
-def _halves(cuttings: int, seed: int):
-    """Rows ``(node, level, cell, code, parts, middle)`` to ``(node, level, cell, code, part)``: on which sides of the middle a node of a large cell lies."""
+def _halves(seed: int):
+    """Rows ``(node, level, cell, code, parts, middle)`` of large cells to ``(node, level, cell, code, part)``: on which sides of the middle a node lies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            part = np.zeros(n, dtype=np.int64)
-            large = np.flatnonzero(batch.column(5).is_valid().to_numpy(zero_copy_only=False))
-            if len(large):
-                rows = batch.take(pa.array(large))
-                middle = rows.column(5).flatten().to_numpy(zero_copy_only=False).reshape(len(large), -1)
-                side = (_along(rows.column(3), rows.column(2), cuttings, seed, middle.shape[1]) > middle).astype(np.int64) << np.arange(middle.shape[1])
-                side[np.arange(middle.shape[1])[None, :] >= rows.column(4).to_numpy(zero_copy_only=False)[:, None]] = 0
-                part[large] = side.sum(axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(part)], names=["node", "level", "cell", "code", "part"])
+            if n := batch.num_rows:
+                middle = batch.column(5).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+                side = (_along(batch.column(3), batch.column(2), seed, middle.shape[1]) > middle).astype(np.int64) << np.arange(middle.shape[1])
+                side[np.arange(middle.shape[1])[None, :] >= batch.column(4).to_numpy(zero_copy_only=False)[:, None]] = 0
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(side.sum(axis=1))], names=["node", "level", "cell", "code", "part"])
 
     return run
 
@@ -246,25 +243,25 @@ def _meet(floor: float):
 _EDGES = "node long, to array<long>, sim array<float>"
 
 
-def _blocks(nodes: DataFrame, cuttings: int, seed: int) -> DataFrame:
+def _blocks(nodes: DataFrame, bits: dict[int, int], cuttings: range, seed: int) -> DataFrame:
     """``(node, level, cell, part, code)``: the block of a node in each cutting."""
-    counts = {r["level"]: r["count"] for r in nodes.groupBy("level").count().collect()}  # a few levels
-    bits = {level: max(0, min(PLANES, int(np.ceil(np.log2(max(1, n / BLOCK)))))) for level, n in counts.items()}
-    cells = lambda: nodes.select("node", "level", "code").mapInArrow(_cells(bits, cuttings, seed), "node long, level int, cell long, code binary")
+    source = nodes.select("node", "level", "code")
+    cells = lambda: source.mapInArrow(_cells(bits, cuttings, seed, True), "node long, level int, cell long, code binary")
     # only large cells go on; their number of halvings and the middles along these directions are a row each
-    large = cells().groupBy("level", "cell").count().where(F.col("count") > LARGE).select("level", "cell", F.ceil(F.log2(F.col("count") / LARGE)).cast("int").alias("parts"))
-    large = staged(large, "large_cells")
+    large = source.mapInArrow(_cells(bits, cuttings, seed, False), "level int, cell long").groupBy("level", "cell").count().where(F.col("count") > LARGE)
+    large = staged(large.select("level", "cell", F.ceil(F.log2(F.col("count") / LARGE)).cast("int").alias("parts")), "large_cells")
     most = min(PLANES, large.agg(F.max("parts")).first()[0] or 0)
     if not most:
         return cells().withColumn("part", F.lit(0).cast("long"))
-    sides = cells().join(large, ["level", "cell"]).select("level", "cell", "code").mapInArrow(_projections(cuttings, seed, most), "level int, cell long, " + ", ".join(f"p{i} float" for i in range(most)))
+    sides = cells().join(large, ["level", "cell"]).select("level", "cell", "code").mapInArrow(_projections(seed, most), "level int, cell long, " + ", ".join(f"p{i} float" for i in range(most)))
     middle = sides.groupBy("level", "cell").agg(F.array(*[F.avg(f"p{i}").cast("float") for i in range(most)]).alias("middle"))
     middle = staged(large.join(middle, ["level", "cell"]), "middles")
-    halved = lambda: cells().join(middle, ["level", "cell"], "left").select("node", "level", "cell", "code", "parts", "middle").mapInArrow(_halves(cuttings, seed), "node long, level int, cell long, code binary, part long")
-    still = halved().where("part > 0").groupBy("level", "cell", "part").count().where(F.col("count") > 2 * LARGE)
+    halved = lambda: cells().join(middle, ["level", "cell"]).select("node", "level", "cell", "code", "parts", "middle").mapInArrow(_halves(seed), "node long, level int, cell long, code binary, part long")
+    still = halved().groupBy("level", "cell", "part").count().where(F.col("count") > 2 * LARGE)
     still = staged(still.select("level", "cell", "part", F.ceil(F.col("count") / LARGE).alias("shares")), "large_parts")
     share = F.pmod(F.xxhash64("node", "cell", "part"), F.coalesce("shares", F.lit(1)))
-    return halved().join(still, ["level", "cell", "part"], "left").select("node", "level", "cell", F.xxhash64("part", share).alias("part"), "code")
+    dense = halved().join(still, ["level", "cell", "part"], "left").select("node", "level", "cell", F.xxhash64("part", share).alias("part"), "code")
+    return cells().join(large, ["level", "cell"], "left_anti").select("node", "level", "cell", F.lit(0).cast("long").alias("part"), "code").union(dense)
 
 
 def graph(nodes: DataFrame, *, degree: int, cuttings: int, rounds: int, floor: float = -1.0, seed: int = 7) -> DataFrame:
@@ -272,7 +269,13 @@ def graph(nodes: DataFrame, *, degree: int, cuttings: int, rounds: int, floor: f
 
     Edges below ``floor`` are not kept. It ends when a round changes less than 0.1 % of the edges, or after ``rounds``.
     """
-    near = _blocks(nodes, cuttings, seed).groupBy("level", "cell", "part").applyInArrow(_inside(degree, floor), _EDGES)
+    counts = {r["level"]: r["count"] for r in nodes.groupBy("level").count().collect()}  # a few levels
+    bits = {level: max(0, min(PLANES, int(np.ceil(np.log2(max(1, n / BLOCK)))))) for level, n in counts.items()}
+    # a few cuttings at a time, so that no more copies of the vectors are on the way at once
+    near = [
+        staged(_blocks(nodes, bits, range(t, min(t + TOGETHER, cuttings)), seed).groupBy("level", "cell", "part").applyInArrow(_inside(degree, floor), _EDGES), "near")
+        for t in range(0, cuttings, TOGETHER)
+    ]
     codes = nodes.select("node", "code", F.lit(None).cast("array<long>").alias("to"), F.lit(None).cast("array<float>").alias("sim"), F.lit(False).alias("told"))
 
     def settled(parts: DataFrame) -> DataFrame:
@@ -280,7 +283,9 @@ def graph(nodes: DataFrame, *, degree: int, cuttings: int, rounds: int, floor: f
         return staged(rows.select("node", "code", "to", "sim", "told").mapInArrow(_settle(degree), f"node long, code binary, to array<long>, sim array<float>, fresh array<tinyint>"), "graph")
 
     lists = lambda df, told: df.select("node", F.lit(None).cast("binary").alias("code"), "to", "sim", F.lit(told).alias("told"))
-    current = settled(codes.union(lists(near, True)))
+    current = settled(reduce(DataFrame.union, [codes, *[lists(n, True) for n in near]]))
+    for n in near:
+        unstage(n)
     for turn in range(rounds):
         worst = F.when(F.size("sim") >= degree, F.element_at("sim", -1)).otherwise(-1.0).cast("float")
         # of a node's edges the new ones come first, as many as a round takes
@@ -334,7 +339,9 @@ def prepare(records: DataFrame, dimensions: int = DIMENSIONS) -> tuple[DataFrame
     heads = once.groupBy("level", "h1", "h2").agg(F.min("row").alias("node"))
     members = once.select("id", "level", "h1", "h2").join(heads, ["level", "h1", "h2"]).select("id", "node")
     nodes = once.join(heads.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "level", "unit", "code")
-    return staged(members, "members"), staged(nodes, "nodes")
+    members, nodes = staged(members, "members"), staged(nodes, "nodes")
+    unstage(once)
+    return members, nodes
 
 
 def neighbours(
