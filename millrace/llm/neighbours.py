@@ -36,7 +36,7 @@ SAMPLE = 10  # edges of a node that take part in a round, forward; as many, on a
 TOLD = 4  # better pairs that one meeting of neighbours reports for each of them
 SALTS = 64
 PLANES = 40
-TOGETHER = 4  # cuttings
+TOGETHER = 8  # cuttings
 
 
 def usable(embedding: Column, dimensions: int = DIMENSIONS) -> Column:
@@ -292,21 +292,24 @@ def graph(nodes: DataFrame, *, degree: int, cuttings: int, rounds: int, floor: f
         all_ = F.transform("to", lambda t, i: F.struct((F.get("fresh", i) == 0).alias("old"), i.alias("i"), t.alias("to"), F.get("fresh", i).alias("fresh")))
         edges = F.slice(F.sort_array(F.filter(all_, lambda e: e["fresh"] < 2)), 1, SAMPLE)
         sent = current.select("node", "code", worst.alias("worst"), F.explode(edges).alias("e")).select("node", "code", "worst", F.col("e.to").alias("to"), (F.col("e.fresh") > 0).alias("fresh"))
-        active = staged(sent.where("fresh").select(F.explode(F.array("node", "to")).alias("centre")).distinct(), "active")
+        # at first every edge is new; later only nodes with a new edge at hand take part
+        active = staged(sent.where("fresh").select(F.explode(F.array("node", "to")).alias("centre")).distinct(), "active") if turn else None
+        awake = lambda links: links if active is None else links.join(active, "centre", "left_semi")
         # reverse links of a node that many have are sampled to the same number, by hash: no node gathers more
         hubs = sent.groupBy("to").agg(F.count("*").alias("into")).where(F.col("into") > SAMPLE)
         chance = F.pmod(F.xxhash64("node", "to", F.lit(turn)), F.lit(1 << 20)) / float(1 << 20)
         back = sent.join(hubs, "to", "left").where(F.col("into").isNull() | (chance < SAMPLE / F.col("into"))).select(F.col("to").alias("centre"), F.col("node").alias("member"), "fresh", "worst", "code")
         known = current.select(F.col("node").alias("member"), worst.alias("worst"), "code")
-        ahead = sent.select(F.col("node").alias("centre"), F.col("to").alias("member"), "fresh").join(active, "centre", "left_semi").join(known, "member").select("centre", "member", "fresh", "worst", "code")
-        met = ahead.union(back.join(active, "centre", "left_semi")).groupBy("centre").agg(*[F.collect_list(c).alias(c) for c in ("member", "fresh", "worst", "code")])
+        ahead = sent.select(F.col("node").alias("centre"), F.col("to").alias("member"), "fresh")
+        ahead = awake(ahead).join(known, "member").select("centre", "member", "fresh", "worst", "code")
+        met = ahead.union(awake(back)).groupBy("centre").agg(*[F.collect_list(c).alias(c) for c in ("member", "fresh", "worst", "code")])
         found = staged(met.select("member", "fresh", "worst", "code").mapInArrow(_meet(floor), _EDGES), "found")
         part = lambda waits: [F.filter(c, lambda x, i: (F.get("fresh", i) == 2) == waits).alias(c) for c in ("to", "sim")]
         own = current.select("node", "code", *part(F.lit(False)), F.lit(False).alias("told"))
         waiting = current.where(F.array_contains("fresh", F.lit(2).cast("tinyint"))).select("node", F.lit(None).cast("binary").alias("code"), *part(F.lit(True)), F.lit(True).alias("told"))
         after = settled(own.union(waiting).union(lists(found, True)))
         fresh, total = after.agg(F.sum(F.size(F.filter("fresh", lambda x: x > 0))), F.sum(F.size("to"))).first()
-        for old in (current, active, found):
+        for old in (current, found, *[active] * (active is not None)):
             unstage(old)
         current = after
         if (fresh or 0) <= 0.001 * (total or 0):

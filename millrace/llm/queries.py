@@ -50,7 +50,7 @@ def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = nn.neighbours(table(spark, sf_dir, "index_record"), 5, min_cosine=0.90, degree=16, cuttings=16, rounds=3)
+    near = nn.neighbours(table(spark, sf_dir, "index_record"), 5, min_cosine=0.90, degree=16, cuttings=16, rounds=2)
     return near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
 
 
