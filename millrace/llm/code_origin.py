@@ -35,14 +35,14 @@ VENDOR_FOLDERS = (
 _VENDORED = re.compile(
     r"taken (?:over )?(?:unchanged |unmodified )?from\b|(?:copied|vendored|imported|adapted) (?:unchanged |verbatim )?from\b.*\d"
     r"|^\W*upstream:|^\W*local (?:changes|modifications):|\(c\).* (?:contributors|authors|maintainers)\b"
-    r"|^\W*[\w.-]+ v\d+\.\d+(?:\.\d+)?\s*$|notice file of the original package"
-    r"|\b(?:permission is (?:hereby )?(?:given|granted)|released under the|use, change and share freely|redistribution and use)\b",
+    r"|^\W*[\w.-]+ v\d+\.\d+(?:\.\d+)?\s*$"
+    r"|\b(?:permission is (?:hereby )?(?:given|granted)|released under the|redistribution and use)\b",
     re.I | re.M,
 )
 _GENERATED = re.compile(
     r"\b(?:auto(?:matically)?[ -]?generated|machine[ -](?:written|generated)|code generated|generated (?:by|from|with|using) |autogenerated)\b|<auto-generated|@generated\b"
     r"|\bdo not (?:edit|modify|change)\b|changes (?:to it |made here |to this file )?will be (?:lost|overwritten)"
-    r"|please change the template instead|produced by .{0,80}\b(?:rebuild|regenerate)\b|\brun .{0,60} to (?:rebuild|regenerate) this file",
+    r"|produced by .{0,80}\b(?:rebuild|regenerate)\b|\brun .{0,60} to (?:rebuild|regenerate) this file",
     re.I,
 )
 _GENERATED_PATH = re.compile(
@@ -151,7 +151,8 @@ def _composition() -> Column:
 
 
 def not_hand_written(chunks: DataFrame) -> DataFrame:
-    """``(repo, file_path, reason, containment)`` of every file; ``reason`` is null for hand-written ones.
+    """``(repo, file_path, reason, containment)`` of every file; ``reason`` is null for hand-written ones. ``containment``
+    is the share of its lines that vendored files of other repositories hold, also for files that are named on other evidence.
 
     Reasons: vendored, generated, minified, data. Repeated deliveries of a ``chunk_id`` count once. A null repo is
     a repository of its own; rows without a path or a chunk id are left out; null and empty contents are hand-written
@@ -186,7 +187,7 @@ def not_hand_written(chunks: DataFrame) -> DataFrame:
     most = max(2, RARE_REPOS * files.select("repo").distinct().count())
     holders = posted.where("said IS NULL OR said <> 'vendored'").join(index, "line", "left_semi").select("line", "repo").distinct()
     index = index.join(holders.groupBy("line").count().where(F.col("count") > most), "line", "left_anti")
-    other = files.where("said IS NULL AND size(own) > 0").select("repo", "file_path", F.size("own").alias("n"), F.explode("own").alias("line"))
+    other = files.where("size(own) > 0").select("repo", "file_path", F.size("own").alias("n"), F.explode("own").alias("line"))
     elsewhere = (F.coalesce("repo", F.lit("")) != F.col("low")) | (F.col("low") != F.col("high"))
     shared = other.join(index, "line").where(elsewhere).groupBy("repo", "file_path", "n").agg(F.count("*").alias("held"))
     held = shared.select(F.col("repo").alias("r"), F.col("file_path").alias("p"), (F.col("held") / F.col("n")).alias("containment"))
