@@ -8,12 +8,14 @@ words with at most ``edits`` edits leaves, by the q-gram lemma, at least
 within one of the overlapping bands of twice that width, and so many within
 every stretch of ``length`` characters of it. Stretches that reach the bound,
 with ``length`` that of the item's shortest passage, are aligned within their
-band, and the alignment is reported; the longest run of equal words follows
+band. A region counts when the alignment matches as many characters as the
+shortest passage has, less the edits; the longest run of equal words follows
 from the aligned region.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -27,6 +29,7 @@ from millrace.llm.text_kernels import code_points, span_hashes, text_slices, wor
 Q, EDITS, PASSAGE = 12, 1, 12
 BLOCK_CHARS = 4_000_000  # characters of items in one broadcast index, about 200 MB at most in a worker
 _FILTER_BITS = 23
+_HITS = 8_000_000  # postings that are looked at together
 
 _FOLD = np.zeros(128, dtype=np.uint8)
 for _c in "abcdefghijklmnopqrstuvwxyz0123456789":
@@ -73,6 +76,8 @@ class ItemIndex:
         self.norm, self.starts, self.ends = np.append(norm, np.uint8(0)), off[:-1], off[1:]
         self.texts = [norm[off[i] : off[i + 1]].tobytes().decode("ascii") for i in range(len(ids))]
         self.words = [t.split() for t in self.texts]
+        ends = [np.cumsum([len(x) + 1 for x in w], dtype=np.int64) - 1 for w in self.words]
+        self.spans = [(np.concatenate([[0], e[:-1] + 1]) if len(e) else e, e) for e in ends]
         # the shortest passage of each item, in characters
         self.bound = np.zeros(len(ids), dtype=np.int64)
         self.shortest = np.zeros(len(ids), dtype=np.int64)
@@ -96,14 +101,22 @@ class ItemIndex:
 
     def regions(self, norm: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """(doc, item, lowest and highest diagonal, first and last position in the document) of stretches that meet the bound."""
+        none = np.zeros((0, 6), dtype=np.int64)
         h, at = _grams(norm, offsets, self.q)
         near = np.flatnonzero(self.seen[(h & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)])
         h, at = h[near], at[near]
         if not len(h) or not len(self.keys):
-            return np.zeros((0, 6), dtype=np.int64)
+            return none
         k = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
         hit = self.keys[k] == h
         k, at = k[hit], at[hit]
+        # documents are taken together while the items' lists they hit are short enough in all
+        size = np.bincount(np.searchsorted(offsets, at, side="right") - 1, weights=self.first[k + 1] - self.first[k], minlength=len(offsets) - 1)
+        turn = (np.cumsum(size) // _HITS)[np.searchsorted(offsets, at, side="right") - 1]
+        found = [self._banded(offsets, k[turn == t], at[turn == t]) for t in np.unique(turn)]
+        return np.concatenate(found) if found else none
+
+    def _banded(self, offsets: np.ndarray, k: np.ndarray, at: np.ndarray) -> np.ndarray:
         many = self.first[k + 1] - self.first[k]
         rows = np.repeat(np.arange(len(k)), many)
         entry = self.first[k][rows] + (np.arange(len(rows)) - np.repeat(np.cumsum(many) - many, many))
@@ -143,8 +156,8 @@ class ItemIndex:
         found = np.stack([doc[dense[first]], item[dense[first]], low, high, begin[first], np.maximum.reduceat(reach, first)], axis=1)
         return np.unique(found, axis=0)  # what lies in both of two overlapping bands
 
-    def align(self, norm: np.ndarray, offsets: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Best local alignment of each region within its band: characters matched, and edits.
+    def align(self, norm: np.ndarray, offsets: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Best local alignment of each region within its band: characters matched, edits, and words of the item it covers.
 
         All regions advance together, one document character a step. A cell packs score, matches and edits
         into one integer, so that the larger cell is the better one; equal characters add 1 to the score, an
@@ -156,23 +169,32 @@ class ItemIndex:
         length = np.minimum(end + self.q, offsets[doc + 1] - offsets[doc]) - begin
         chars = np.append(norm, np.uint8(0))
         one, edit, score = np.int64((1 << 42) + (1 << 21)), np.int64((2 << 42) - 1), np.int64(1 << 42)
-        best = np.zeros(len(found), dtype=np.int64)
+        best, last = np.zeros(len(found), dtype=np.int64), np.zeros(len(found), dtype=np.int64)
         row = np.zeros((width + 2, len(found)), dtype=np.int64)
         size = self.ends[item] - self.starts[item]
         for i in range(int(length.max())):
             live = i < length
             c = chars[np.where(live, offsets[doc] + begin + i, -1)]
             after = np.zeros_like(row)
-            for d in range(width):
+            for d in reversed(range(width)):
                 j = begin + i - first - d
                 valid = live & (j >= 0) & (j < size)
                 same = valid & (self.norm[np.where(valid, self.starts[item] + j, 0)] == c)
-                other = np.maximum(np.maximum(row[d + 1], row[d + 2]), after[d]) - edit
+                # another character, one more in the document, one more in the item
+                other = np.maximum(np.maximum(row[d + 1], row[d]), after[d + 2]) - edit
                 cell = np.where(same, row[d + 1] + one, np.where(other >= score, other, 0))
                 after[d + 1] = np.where(valid, cell, 0)
-                np.maximum(best, after[d + 1], out=best)
+                better = after[d + 1] > best
+                best, last = np.where(better, after[d + 1], best), np.where(better, j + 1, last)
             row = after
-        return (best >> 21) & ((1 << 21) - 1), best & ((1 << 21) - 1)
+        matched, edits = (best >> 21) & ((1 << 21) - 1), best & ((1 << 21) - 1)
+        words = [self._covered(i, e - m - k - self.edits, e + self.edits) for i, e, m, k in zip(item.tolist(), last.tolist(), matched.tolist(), edits.tolist())]
+        return matched, edits, np.array(words, dtype=np.int64)
+
+    def _covered(self, i: int, first: int, last: int) -> int:
+        """Words of item i that lie between two of its positions."""
+        begin, end = self.spans[i]
+        return max(0, int(np.searchsorted(end, last, side="right") - np.searchsorted(begin, first, side="left")))
 
     def word_run(self, doc: str, i: int, begin: int, end: int) -> int:
         """Length of the longest run of words of item i inside doc[begin:end], widened to whole words; 0 below ``passage``."""
@@ -194,34 +216,45 @@ class ItemIndex:
         return best
 
 
+_built: dict[str, ItemIndex] = {}
+
+
+def _index(name: str, shared) -> ItemIndex:
+    """The index of a broadcast block, built once in a worker."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = ItemIndex(*shared.value)
+    return _built[name]
+
+
 def _search(shared):
+    name = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = ItemIndex(*shared.value)
+        index = _index(name, shared)
         for batch, texts in text_slices(batches, "text", 4_000_000):
             norm, off = normal_text(texts)
-            found: dict[tuple[int, int], tuple[int, int, int]] = {}
+            found: dict[tuple[int, int], tuple[int, int, int, int]] = {}
             strings: dict[int, str] = {}
             regions = index.regions(norm, off)
             if len(regions):
                 regions = regions[np.argsort(regions[:, 5] - regions[:, 4], kind="stable")]
                 parts = [index.align(norm, off, r) for r in np.array_split(regions, min(8, len(regions)))]
-                matched, edits = (np.concatenate(x) for x in zip(*parts))
-                ok = matched >= index.bound[regions[:, 1]]
-                for (d, i, _, _, begin, end), m, e in zip(regions[ok].tolist(), matched[ok].tolist(), edits[ok].tolist()):
+                matched, edits, covered = (np.concatenate(x) for x in zip(*parts))
+                ok = matched >= index.shortest[regions[:, 1]] - index.edits
+                for (d, i, _, _, begin, end), m, e, c in zip(regions[ok].tolist(), matched[ok].tolist(), edits[ok].tolist(), covered[ok].tolist()):
                     if d not in strings:
                         strings[d] = norm[off[d] : off[d + 1]].tobytes().decode("ascii")
                     words = index.word_run(strings[d], i, begin, end + index.q)
-                    found[d, i] = max(found.get((d, i), (0, 0, 0)), (words, m, -e))
+                    found[d, i] = max(found.get((d, i), (0, 0, 0, 0)), (words, c, m, -e))
             keys = list(found)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array([d for d, _ in keys], type=pa.int64())),
                     pa.array([index.ids[i] for _, i in keys], type=index_type(index.ids)),
-                    pa.array([found[k][1] for k in keys], type=pa.int32()),
-                    pa.array([-found[k][2] for k in keys], type=pa.int32()),
-                    pa.array([found[k][0] for k in keys], type=pa.int32()),
+                    *[pa.array([sign * found[k][n] for k in keys], type=pa.int32()) for n, sign in ((2, 1), (3, -1), (1, 1), (0, 1))],
                 ],
-                names=["doc_id", "item_id", "matched_chars", "edits", "word_run"],
+                names=["doc_id", "item_id", "matched_chars", "edits", "words", "word_run"],
             )
 
     return run
@@ -232,9 +265,10 @@ def index_type(ids: list) -> pa.DataType:
 
 
 def leaks(docs: DataFrame, items: DataFrame, *, q: int = Q, edits: int = EDITS, passage: int = PASSAGE) -> DataFrame:
-    """Regions of documents that hold a passage of an item: ``(doc_id, item_id, matched_chars, edits, word_run)``.
+    """Regions of documents that hold a passage of an item: ``(doc_id, item_id, matched_chars, edits, words, word_run)``.
 
-    One row for each document and item, that of the longest run. ``word_run`` is the number of consecutive words
+    A passage is as long as the item's shortest one of ``passage`` words and may hold ``edits`` edits. One row for each
+    document and item, that of the longest run. ``words`` is the number of the item's words that the alignment covers; ``word_run`` is the number of consecutive words
     shared exactly, 0 below ``passage``. Items are broadcast in blocks of at most ``BLOCK_CHARS`` characters
     (measured, not assumed); more items mean more passes over the corpus. Repeated ids count once each with their
     own text; null texts, ids and items of fewer than ``passage`` words give no row; empty tables an empty result.
@@ -245,16 +279,16 @@ def leaks(docs: DataFrame, items: DataFrame, *, q: int = Q, edits: int = EDITS,
     size = held.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_CHARS))
     kinds = [t.schema[c].dataType.simpleString() for t, c in ((text, "doc_id"), (held, "item_id"))]
-    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, matched_chars int, edits int, word_run int"
+    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, matched_chars int, edits int, words int, word_run int"
     parts = []
     for b in range(blocks):
         rows = held.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
         shared = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows], q, edits, passage))
         parts.append(text.mapInArrow(_search(shared), schema))
-    best = F.max(F.struct("word_run", "matched_chars", (-F.col("edits")).alias("e"))).alias("m")
+    best = F.max(F.struct("word_run", "words", "matched_chars", (-F.col("edits")).alias("e"))).alias("m")
     return (
         reduce(DataFrame.union, parts)
         .groupBy("doc_id", "item_id")
         .agg(best)
-        .select("doc_id", "item_id", "m.matched_chars", (-F.col("m.e")).alias("edits"), "m.word_run")
+        .select("doc_id", "item_id", "m.matched_chars", (-F.col("m.e")).alias("edits"), "m.words", "m.word_run")
     )

@@ -12,7 +12,9 @@ every posting list:
   open (prefix merging: two classes with enough collisions share one of these,
   whatever the order; how frequent values are is kept in a table of fixed size);
 * the long posting lists, which rank last, are skipped and probed only for the
-  pairs found so far, by comparing the two signatures (skip merging).
+  pairs found so far, by comparing the two signatures (skip merging);
+* a list that is long all the same is joined in parts of bounded size: one side
+  of it is divided by a hash, the other goes to every part.
 
 Pairs that reach ``matches`` collisions are then checked on their whole shingle
 sets. With 24 coordinates and 5 matches, a pair at the limit of 0.60 is missed
@@ -33,6 +35,7 @@ from millrace.session import staged, unstage
 
 COORDINATES, MATCHES, WIDTH, SIMILARITY = 24, 5, 3, 0.60
 EXPAND = 32
+LIST = 1000  # postings of one part of a list
 SKETCH = 1 << 16  # counters of value frequencies: half a megabyte, whatever the corpus
 
 
@@ -75,7 +78,8 @@ def _shingles(width: int):
 
 
 def _rarest(frequent, keep: int):
-    """Each class posts its ``keep`` least frequent values; any fixed order of values would give the same pairs."""
+    """Each class posts its ``keep`` least frequent values, with the number of parts in which a list of that length is
+    joined; any fixed order of values would give the same pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,8 +90,9 @@ def _rarest(frequent, keep: int):
             often = frequent.value[np.mod(sig, SKETCH)]
             order = np.lexsort((sig, often), axis=1)[:, :keep]
             at = pa.array(np.repeat(np.arange(rows), order.shape[1]))
+            parts = (1 + np.take_along_axis(often, order, axis=1).ravel() // LIST).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.take_along_axis(sig, order, axis=1).ravel()), batch.column(0).take(at), batch.column(1).take(at)], names=["key", "rep", "n"]
+                [pa.array(np.take_along_axis(sig, order, axis=1).ravel()), pa.array(parts), batch.column(0).take(at), batch.column(1).take(at)], names=["key", "parts", "rep", "n"]
             )
 
     return run
@@ -132,11 +137,11 @@ def near_duplicates(
     for at, n in reps.select(F.explode("sig").alias("key")).groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).collect():
         sketch[at] = n
     frequent = docs.sparkSession.sparkContext.broadcast(sketch)
-    prefix = reps.mapInArrow(_rarest(frequent, coordinates - matches + 1), f"key long, rep {id_type}, n int")
-    a = prefix.select("key", F.col("rep").alias("a"), F.col("n").alias("na"))
-    b = prefix.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"))
+    prefix = reps.mapInArrow(_rarest(frequent, coordinates - matches + 1), f"key long, parts int, rep {id_type}, n int")
+    a = prefix.select("key", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), F.col("rep").alias("a"), F.col("n").alias("na"))
+    b = prefix.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("rep").alias("b"), F.col("n").alias("nb"))
     fits = (F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
-    candidates = a.join(b, "key").where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
+    candidates = a.join(b, ["key", "part"]).where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
     collide = F.size(F.array_intersect("sa", "sb"))
     kept = staged(
         candidates.join(reps.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a")
@@ -179,23 +184,23 @@ def similar_pairs(members: DataFrame, links: DataFrame, *, expand: int = EXPAND)
     return between.union(within).union(star).select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"))
 
 
-def groups(members: DataFrame, links: DataFrame, *, rounds: int = 40) -> DataFrame:
+def groups(members: DataFrame, links: DataFrame) -> DataFrame:
     """Connected groups: ``(id, group_id, links)``, one row per id; ``group_id`` is the smallest id of the group.
 
     Labels spread along links and are shortened by pointer jumping, each round
-    written to the shared folder; it ends when no label changes.
+    written to the shared folder; it ends when no label changes, however long a chain is.
     """
     edges = staged(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    label = staged(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("g")), "labels")
-    for _ in range(rounds):
+    label = before = staged(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("g")), "labels")
+    changed = True
+    while changed:
         near = edges.join(label.select(F.col("a").alias("b"), "g"), "b").groupBy("a").agg(F.min("g").alias("m"))
         step = label.join(near, "a").select("a", F.least("g", "m").alias("n"), "g")
         far = step.join(step.select(F.col("a").alias("n"), F.col("n").alias("nn")), "n").select("a", F.col("nn").alias("n"), "g")
         after = staged(far, "labels")
-        changed = after.where("n <> g").limit(1).count()
-        label = after.select("a", F.col("n").alias("g"))
-        if not changed:
-            break
+        changed = after.where("n <> g").limit(1).count() > 0
+        unstage(before)
+        before, label = after, after.select("a", F.col("n").alias("g"))
     degree = edges.groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("links"))
     return (
         members.join(label.select(F.col("a").alias("rep"), "g"), "rep", "left")

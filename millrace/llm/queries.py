@@ -80,6 +80,12 @@ def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.max("word_run").alias("longest_run"))
 
 
+def p7_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that were edited: their alignment covers twelve words, but there is no run of twelve equal ones."""
+    found = leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
+    return found.where((F.col("word_run") < leakage.PASSAGE) & (F.col("words") >= leakage.PASSAGE))
+
+
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"))[0]
 
@@ -106,7 +112,15 @@ def oracle_sql() -> dict[str, str]:
 
 _WORDS = "regexp_extract_all(lower({0}), '[a-z0-9]+')"
 
+_RUNS = f"""i AS (SELECT DISTINCT item_id, {_WORDS.format("text")} AS w FROM eval_item WHERE text IS NOT NULL), d AS (SELECT DISTINCT doc_id, {_WORDS.format("text")} AS w FROM documents WHERE text IS NOT NULL),
+        ig AS (SELECT DISTINCT item_id, p, array_to_string(w[p:p + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS p FROM i)),
+        dg AS (SELECT DISTINCT doc_id, q, array_to_string(w[q:q + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS q FROM d)),
+        m AS (SELECT doc_id, item_id, q, q - p AS diagonal FROM dg JOIN ig USING (g)),
+        r AS (SELECT *, q - row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY q) AS run FROM m),
+        l AS (SELECT doc_id, item_id, count(*) + 11 AS n FROM r GROUP BY doc_id, item_id, diagonal, run)"""
+
 ORACLES = {
+    "p7_items": f"WITH {_RUNS} SELECT item_id, count(DISTINCT doc_id) AS documents, CAST(max(n) AS INT) AS longest_run FROM l GROUP BY item_id",
     "p1_found": r"""
         WITH c AS (SELECT chunk_id, any_value(content) AS t FROM code_chunk WHERE chunk_id IS NOT NULL AND content IS NOT NULL GROUP BY 1),
         w AS (SELECT chunk_id, regexp_extract_all(t, '[\p{L}\p{N}_]+') AS w FROM c),

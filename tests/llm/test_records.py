@@ -169,3 +169,63 @@ def test_pairs_in_a_dense_cluster(spark, tmp_path):
     want = {(min(i, j), max(i, j)) for i, best in enumerate(np.argpartition(-s, 5, axis=1)[:, :5].tolist()) for j in best if s[i, j] >= 0.901}
     got = {tuple(r) for r in queries.p6_found(spark, str(tmp_path)).collect()}
     assert len(want) > 2 * hot and len(want & got) / len(want) > 0.93
+
+
+def test_a_long_chain_is_one_group(spark):
+    members = spark.range(300).selectExpr("id", "id AS rep", "1L AS copies")
+    links = spark.range(299).selectExpr("id AS a", "id + 1 AS b", "0.7D AS jaccard")
+    assert {r["group_id"] for r in nd.groups(members, links).collect()} == {0}
+
+
+def test_long_posting_lists_are_joined_in_parts(spark, monkeypatch):
+    """A third of all texts share most of their content, so that one value of a coordinate is in all of them."""
+    rng = random.Random(8)
+    stock = " ".join(rng.choice(WORDS) for _ in range(30))
+    rows = [(i, stock + f" {i} {rng.choice(WORDS)} " + " ".join(rng.choice(WORDS) for _ in range(rng.choice([2, 40])))) for i in range(120)]
+    rows += [(1000 + i, " ".join(rng.choice(WORDS) for _ in range(40))) for i in range(240)]
+    df = spark.createDataFrame(rows, "chunk_id long, content string")
+    want = alike(rows)
+    monkeypatch.setattr(nd, "LIST", 7)
+    members, links = nd.near_duplicates(df)
+    assert {tuple(r) for r in nd.similar_pairs(members, links).collect()} == want and len(want) > 500
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("kind", ["substitute", "insert", "delete"])
+def test_alignment_decides_on_edited_passages(spark, kind):
+    """A passage with one edit in its middle is found by the alignment alone, one with edits all over is not."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    items = [(i, " ".join(word() for _ in range(14))) for i in range(30)]
+
+    def damaged(text, at):
+        for p in sorted(at, reverse=True):
+            text = text[:p] + {"substitute": "z", "insert": "z" + text[p], "delete": ""}[kind] + text[p + 1 :]
+        return text
+
+    docs, want = [], set()
+    for i, text in items:
+        few, many = damaged(text, [len(text) // 2]), damaged(text, range(5, len(text), 9))
+        assert edit_distance(text, few) == 1 and edit_distance(text, many) > 5
+        docs += [(i, f"{word()} {few} {word()}"), (100 + i, f"{word()} {many} {word()}")]
+        want.add((i, i))
+    D, I = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = leakage.leaks(D, I).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == want and all(r["word_run"] < 12 and r["edits"] == 1 for r in found)
+
+
+def test_many_postings_are_taken_in_turns(spark, monkeypatch):
+    rng = random.Random(9)
+    stock = " ".join(f"s{i}" for i in range(15))
+    items = spark.createDataFrame([(i, f"{stock} u{i}") for i in range(40)], "item_id long, text string")
+    docs = spark.createDataFrame([(d, f"v{d} {stock} " * rng.randint(1, 3)) for d in range(30)] + [(99, "nothing of it")], "doc_id long, text string")
+    monkeypatch.setattr(leakage, "_HITS", 1000)
+    assert leakage.leaks(docs, items).where("word_run >= 12").count() == 30 * 40
