@@ -138,18 +138,23 @@ def near_duplicates(
         sketch[at] = n
     frequent = docs.sparkSession.sparkContext.broadcast(sketch)
     prefix = reps.mapInArrow(_rarest(frequent, coordinates - matches + 1), f"key long, parts int, rep {id_type}, n int")
-    a = prefix.select("key", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), F.col("rep").alias("a"), F.col("n").alias("na"))
-    b = prefix.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("rep").alias("b"), F.col("n").alias("nb"))
     fits = (F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
-    candidates = a.join(b, ["key", "part"]).where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
+    side = lambda rows, x, part: rows.select("key", part.alias("part"), F.col("rep").alias(x), F.col("n").alias("n" + x))
+    short, long = prefix.where("parts = 1"), prefix.where("parts > 1")
+    whole = F.lit(0)
+    met = side(short, "a", whole).join(side(short, "b", whole), ["key", "part"]).union(
+        side(long, "a", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).join(side(long, "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), ["key", "part"])
+    )
+    candidates = staged(met.where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct(), "candidates")
     collide = F.size(F.array_intersect("sa", "sb"))
     kept = staged(
         candidates.join(reps.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a")
         .join(reps.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
         .where(collide >= matches)
         .select("a", "b"),
-        "candidates",
+        "kept",
     )
+    unstage(candidates)
     wanted = kept.select(F.col("a").alias("id")).union(kept.select(F.col("b").alias("id"))).distinct()
     sets = (
         text.join(wanted, "id", "left_semi")
