@@ -68,15 +68,34 @@ def _signatures(width: int, coordinates: int):
     return run
 
 
-def _shingles(width: int):
+def _shingles(width: int, wanted):
+    """Rows ``(id, h, content)`` to ``(id, shingles)``, without those whose hash falls on no bit of ``wanted``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_slices(batches, "content"):
-            h, off = shingle_hashes(texts, width)
-            yield pa.RecordBatch.from_arrays([batch.column(0), list_column(h.view(np.int64), off, pa.int64())], names=["id", "shingles"])
+        bits = np.frombuffer(wanted.value, dtype=np.uint8)
+        for batch in batches:
+            at = np.mod(batch.column(1).to_numpy(), 8 * len(bits))
+            rows = batch.take(pa.array(np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)))
+            for part, texts in text_slices([rows], "content"):
+                h, off = shingle_hashes(texts, width)
+                yield pa.RecordBatch.from_arrays([part.column(0), list_column(h.view(np.int64), off, pa.int64())], names=["id", "shingles"])
 
     return run
 
 
+def _bitmap(ids: DataFrame, most: int = 1 << 27) -> bytes:
+    """A bit for the hash of each id, eight bits an id and at most 16 MB: it keeps the others' texts out of a shuffle."""
+    size, n = 1 << 15, ids.count()
+    while size < min(most, 8 * n):
+        size *= 2
+    at = F.pmod(F.xxhash64("id"), F.lit(size))
+    chunks = ids.select(F.floor(at / 32768).cast("int").alias("chunk"), (at % 32768).alias("at")).groupBy("chunk").agg(F.bitmap_construct_agg("at").alias("bits")).collect()
+    out = bytearray(size // 8)
+    for r in chunks:
+        out[r["chunk"] * 4096 : (r["chunk"] + 1) * 4096] = r["bits"]
+    return bytes(out)
+
+
 def _rarest(frequent, keep: int):
     """Each class posts its ``keep`` least frequent values, with the number of parts in which a list of that length is
     joined; any fixed order of values would give the same pairs."""
@@ -112,7 +131,7 @@ def near_duplicates(
 
     Returns ``members(id, rep, copies)``, with the smallest id of a class as
     ``rep``, and ``links(a, b, jaccard)`` between class representatives, a < b.
-    Rows that repeat an id count once; a text that is null, empty or shorter
+    Rows that repeat an id count once (of unlike texts under one id the closest pair counts); a text that is null, empty or shorter
     than ``width`` words has no shingle and appears in neither table. Ids may be
     of any sortable type; other columns of ``docs`` are not read. An empty table
     gives empty results.
@@ -155,18 +174,19 @@ def near_duplicates(
         "kept",
     )
     unstage(candidates)
+    unstage(reps)
     wanted = kept.select(F.col("a").alias("id")).union(kept.select(F.col("b").alias("id"))).distinct()
-    sets = (
-        text.join(wanted, "id", "left_semi")
-        .dropDuplicates(["id"])
-        .mapInArrow(_shingles(width), f"id {id_type}, shingles array<long>")
-    )
+    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(staged(wanted, "wanted")))
+    sets = text.select("id", F.xxhash64("id").alias("h"), "content").mapInArrow(_shingles(width, bits), f"id {id_type}, shingles array<long>")
     both = F.size(F.array_intersect("x", "y"))
-    links = (
+    links = staged(
         kept.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
         .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
         .select("a", "b", (both / (F.size("x") + F.size("y") - both)).alias("jaccard"))
         .where(F.col("jaccard") >= similarity)
+        .groupBy("a", "b")
+        .agg(F.max("jaccard").alias("jaccard")),
+        "links",
     )
     return members.select("id", "rep", "copies"), links
 
