@@ -23,7 +23,8 @@ Export = "export" "default"? (Func | Class | Var | TsDecl) | "export" "default"
 Names = (NameItem ("," NameItem)* ","?)?
 NameItem = "type"? (x | s | "default") ("as" (x | s | "default"))?
 Var = Binds End
-Binds = ("var" | "let" | "const") Bind ("," Bind)*
+Binds = ("var" | "let") Bind ("," Bind)* | "const" Const ("," Const)*
+Const = Target TypeAnn ("=" Assign)? | Target "=" Assign
 Bind = Target "!"? TypeAnn? ("=" Assign)?
 Target = x | obj | arr
 Func = "async"? "function" "*"? x? TypeParams? params TypeAnn? block
@@ -327,14 +328,15 @@ Simple = Small (";" Small)* ";"? End
 Small = Assignment | "return" Exprs? | "raise" (Expr ("from" Expr)?)? | "pass" | "break" | "continue" | "del" Exprs | "assert" Expr ("," Expr)? | ("global" | "nonlocal") x ("," x)* | "import" Dotted ("," Dotted)* | "from" ("." | "...")* (x ("." x)*)? "import" ("*" | Names | names)
 Dotted = x ("." x)* ("as" x)?
 Names = x ("as" x)? ("," x ("as" x)?)* ","?
-Assignment = Exprs | Exprs ("=" (Exprs | Yield))+ | Primary asg (Exprs | Yield) | Primary ":" Expr ("=" (Exprs | Yield))? | Yield
+Assignment = Exprs | (Targets "=")+ (Exprs | Yield) | Place asg (Exprs | Yield) | Place ":" Expr ("=" (Exprs | Yield))? | Yield
+Place = x | paren | list | Atom ("." x | args | index)* ("." x | index)
 Yield = "yield" ("from" Expr | Exprs)?
 Exprs = Item ("," Item)* ","?
 Item = "*"? Named
 Named = (x ":=")? Expr
 Compound = "if" Named ":" Body ("elif" Named ":" Body)* ("else" ":" Body)? | "while" Named ":" Body ("else" ":" Body)? | "async"? "for" Targets "in" Exprs ":" Body ("else" ":" Body)? | Try | "async"? "with" (WithItem ("," WithItem)* | withitems) ":" Body | Def
-Targets = "*"? Primary ("," "*"? Primary)* ","?
-WithItem = Expr ("as" Primary)?
+Targets = "*"? Place ("," "*"? Place)* ","?
+WithItem = Expr ("as" Place)?
 Withitems = WithItem ("," WithItem)* ","?
 Try = "try" ":" Body ((("except" "*"? (Exprs ("as" x)?)? ":" Body)+ ("else" ":" Body)? ("finally" ":" Body)?) | "finally" ":" Body)
 Def = ("@" Named End)* ("async"? "def" x params ("->" Expr)? ":" Body | "class" x args? ":" Body)
@@ -348,8 +350,11 @@ Not = ("not" | "-" | "+" | "~" | "await")* (Primary | Lambda)
 Primary = Atom ("." x | args | index)*
 Atom = x | n | s+ | paren | list | dict | "..."
 Paren = (Item ("," Item)* ","?)? | Item Comp | Yield
-Args = (Arg ("," Arg)* ","?)? | Named Comp
-Arg = ("*" | "**")? Named | x "=" Expr
+Args = (ArgList ","?)? | Named Comp
+ArgList = Plain ("," Plain)* ("," Named1 ("," Named1)*)? ("," Named2 ("," Named2)*)? | Named1 ("," Named1)* ("," Named2 ("," Named2)*)? | Named2 ("," Named2)*
+Plain = "*"? Named
+Named1 = x "=" Expr | "*" Named
+Named2 = x "=" Expr | "**" Expr
 Params = (Param ("," Param)* ","?)?
 Param = ("*" | "**")? x (":" "*"? Expr)? ("=" Expr)? | "*" | "/"
 List = (Item ("," Item)* ","?)? | Item Comp

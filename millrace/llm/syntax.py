@@ -24,22 +24,39 @@ from pyspark.sql import functions as F
 from millrace.llm.gll import Grammar
 from millrace.llm.grammars import ALIASES, GRAMMARS
 
-EXTENSIONS = {"py": "python", "js": "javascript", "ts": "typescript", "go": "go", "java": "java", "rs": "rust", "c": "c"}
+EXTENSIONS = {
+    "py": "python", "pyi": "python", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "mts": "typescript", "cts": "typescript",
+    "go": "go", "java": "java", "rs": "rust", "c": "c",
+}
 
 _STRING, _CHAR, _LIFETIME, _FIRST_GROUP, _LAST = "", "", "", 0xE100, 0xF8FF
 _BOUND = 100_000  # remembered texts of one kind; beyond it the memory starts anew
 
 _DQ, _SQ = r'"(?:\\.|[^"\\\n])*"', r"'(?:\\.|[^'\\\n])*'"
 _SLASHES = r"//[^\n]*|/\*.*?\*/"
-_REGEX = r"(?<=[=(,:;!&|?{}\[\n])[ \t]*/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*"
+_PATTERN = r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*"
+_REGEX = rf"(?<=[=(,:;!&|?{{}}\[\n])[ \t]*{_PATTERN}"
+# behind the head of a statement, too, a slash begins a pattern
+_HEADED = rf"(?P<head>(?<![\w$.])(?:if|while|for|with)[ \t]*\((?:[^()\n'\"`/]|\([^()\n'\"`/]*\))*\)[ \t]*){_PATTERN}"
+
+
+def _template(depth: int) -> str:
+    """A template whose places may hold templates, ``depth`` levels deep."""
+    place = rf"(?>[^`{{}}]|{_template(depth - 1)}|\{{(?>[^`{{}}]|{_template(depth - 1)})*+\}})*+" if depth else "[^`{}]*+"
+    return rf"`(?>\\.|[^`\\$]|\$(?!\{{)|\$\{{{place}\}})*+`"
+
+
+_TEMPLATE = rf"{_template(3)}|`(?:\\.|[^`\\])*`"
+# places of a formatted string may hold quotes of its own kind
+_FORMATTED = "|".join(rf"(?:[rR]?[fF]|[fF][rR]){q}(?!{q}{q})(?>\\.|[^{q}\\{{}}\n]|\{{\{{|\}}\}}|\{{(?>[^{{}}{q}\n]|{q}[^{q}{{}}\\\n]*{q}|\{{[^{{}}{q}\n]*\}})*+\}})*+{q}" for q in "\"'")
 _LITERALS = {
-    "javascript": rf"{_SLASHES}|{_DQ}|{_SQ}|`(?:\\.|[^`\\])*`|{_REGEX}",
-    "typescript": rf"{_SLASHES}|{_DQ}|{_SQ}|`(?:\\.|[^`\\])*`|{_REGEX}",
+    "javascript": rf"{_SLASHES}|{_DQ}|{_SQ}|{_TEMPLATE}|{_HEADED}|{_REGEX}",
+    "typescript": rf"{_SLASHES}|{_DQ}|{_SQ}|{_TEMPLATE}|{_HEADED}|{_REGEX}",
     "go": rf"{_SLASHES}|{_DQ}|`[^`]*`|'(?:\\[^\n]+?|[^'\\\n])'",
     "java": rf'{_SLASHES}|"""(?:\\.|.)*?"""|{_DQ}|' + r"'(?:\\[^\n]+?|[^'\\\n])'",
     "rust": rf'{_SLASHES}|b?r(#*)".*?"\1|b?"(?:\\.|[^"\\])*"|' + r"b?'(?:\\[^\n]+?|[^'\\\n])'|'[^\W\d]\w*",
     "c": rf"{_SLASHES}|[LuU]?{_DQ}|[LuU]?'(?:\\[^\n]+?|[^'\\\n])+'|(?m:^)[ \t]*#[ \t]*(?:include|define|undef|ifdef|ifndef|if|elif|else|endif|pragma|error|warning|line)\b(?:\\\r?\n|/\*.*?\*/|[^\n])*",
-    "python": r'[bBuUrRfF]{0,2}(?:"""(?:\\.|[^\\])*?"""|' + r"'''(?:\\.|[^\\])*?'''" + rf"|{_DQ}|{_SQ})|#[^\n]*",
+    "python": _FORMATTED + r'|[bBuUrRfF]{0,2}(?:"""(?:\\.|[^\\])*?"""|' + r"'''(?:\\.|[^\\])*?'''" + rf"|{_DQ}|{_SQ})|#[^\n]*",
 }
 _CONTEXTUAL = {
     "javascript": {"async", "get", "set", "static", "as", "from", "type", "of", "is", "asserts", "keyof", "readonly", "unique", "infer", "declare", "namespace", "module", "global", "abstract", "interface", "implements", "public", "private", "protected", "override", "accessor", "satisfies", "out", "never", "let", "yield", "await", "enum"},
@@ -74,6 +91,7 @@ _NUMBER = re.compile(r"(?<![\w$])\d(?:\w|\.(?!\.))*")
 _LITERAL_LIST = re.compile(rf"([9{_STRING}])(?:\s*,\s*\1){{3,}}")
 _GROUP_LIST = re.compile(rf"([{chr(_FIRST_GROUP)}-{chr(_LAST)}])(?:\s*,\s*\1){{2,}}")
 _CONTINUES = re.compile(r"\n(?=(?:else|elif|except|catch|finally)\b)")
+_NAMELESS = re.compile(rf"(?:^|;)\s*(?:async )?function ?\*? ?[{chr(_FIRST_GROUP)}-{chr(_LAST)}]")  # no statement begins with a function that has no name
 _PAIRS = {"(": ")", "[": "]", "{": "}"}
 _TOKENS = re.compile(
     rf"(?P<word>[^\W\d]\w*)|(?P<number>9)|(?P<group>[{_STRING}-{chr(_LAST)}])|(?P<line>\n)|(?P<space>[ \t]+)"
@@ -123,6 +141,8 @@ class Language:
             return ""
         if c == "/":
             return _STRING
+        if "head" in self.literals.groupindex and m["head"]:
+            return m["head"] + _STRING
         if s.endswith("'") and self.name in ("go", "java", "rust", "c"):
             return _CHAR if self.name != "go" else "9"
         return _LIFETIME if s[0] == "'" and self.name == "rust" else _STRING
@@ -182,6 +202,8 @@ class Language:
 
     def body(self, rules: tuple[str, ...], text: str) -> frozenset[str]:
         """Which of ``rules`` derive a text of several lines, line by line where that is enough."""
+        if _NAMELESS.search(text) and self.name in ("javascript", "typescript"):
+            rules = tuple(r for r in rules if r not in ("Block", "Module", "Script"))
         rows = [r for r in (r.strip() for r in _CONTINUES.sub(" ", text).split("\n")) if r]
         if len(rows) > 1:
             good = None
@@ -255,22 +277,23 @@ class Language:
 
 def _indented(text: str) -> str | None:
     """Python's indentation as brackets \\x02 and \\x03 around each suite; None where a dedent fits no level."""
-    out, levels, opens = [], [0], False
+    out, levels, opens = [], [(0, 0)], False
     for line in text.split("\n"):
         body = line.strip(" \t\f\r")
         if not body:
             continue
-        lead = line[: len(line) - len(line.lstrip(" \t\f"))]
-        depth = len(lead.expandtabs(8)) if "\t" in lead else len(lead)
-        if depth > levels[-1]:
-            if not opens:
+        lead = line[: len(line) - len(line.lstrip(" \t\f"))].rpartition("\f")[2]
+        # with tabs of eight columns, and of one: both must tell the same
+        depth = (len(lead.expandtabs(8)), len(lead))
+        if depth[0] > levels[-1][0]:
+            if not opens or depth[1] <= levels[-1][1]:
                 return None
             levels.append(depth)
             out.append("\x02")
         else:
             if opens:
                 return None
-            while depth < levels[-1]:
+            while depth[0] < levels[-1][0]:
                 levels.pop()
                 out.append("\x03")
             if depth != levels[-1]:

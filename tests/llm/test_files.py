@@ -198,3 +198,25 @@ def test_truncation(spark):
     assert got == {*range(first, first + len(cut)), 903}
     assert truncation.truncated(df).count() == len(texts)
     assert truncation.truncated(df.limit(0)).count() == 0 and truncation.rates(df).where("source IS NULL").count() == 1
+
+
+@pytest.mark.parametrize(
+    "ext,valid,broken",
+    [
+        ("js", "x = `x${`y`}z`; `a${ {b: `c${d}`} } e`", "x = `a${b"),
+        ("js", "if (a) /re/.test(b);\nwhile (c(d)) /[/]x/g.exec(e)", "if (a) /re"),
+        ("js", "x = function (a) {}; (function () {})()\nexport default function (b) {}", "function (a) {}"),
+        ("js", "const {a, b: [c]} = d, e = 1\nfor (const f of g) ;", "const a;"),
+        ("ts", "const a: number = 1; declare const b: string;", "const a;"),
+        ("py", 'x = f"{d["a"]}" f"{y!r:>{w}}{{}}"\n', 'x = f"{d["a"]}\n'),
+        ("py", "f(a, *b, c=1, *d, **e, f=2)\nf(x for x in y)\n", "f(a=1, 2)\n"),
+        ("py", "f(**a, b=1)\n", "f(**a, *b)\n"),
+        ("py", "a.b[c] = d, (e, f) = g\n(x).y: int = 3\nx[0] += 1\n", "1 = x\n"),
+        ("py", "for a, *b in c: pass\nwith a as (b, c): pass\n", "f() = x\n"),
+        ("py", "if x:\n\ty\n\tz\nif a:\n        b\n", "if x:\n        y\n\tz\n"),
+        ("mjs", "import a from 'b'", "import from"),
+        ("pyi", "def f() -> int: ...\n", "def f() -> : ...\n"),
+    ],
+)
+def test_what_was_taken_wrongly(ext, valid, broken):
+    assert syntax.parses(valid, ext) and not syntax.parses(broken, ext)
