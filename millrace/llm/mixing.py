@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import base64
 import os
-import sys
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,31 +21,28 @@ from pyspark.sql import functions as F
 from millrace.session import staged
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+# Fixed value: how the byte-level vocabularies of fifty thousand tokens cut a text before its pairs are merged.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SEED = 42
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str):
+def _encoder(path: str, pattern: str):
     import tiktoken
 
-    folder = os.path.dirname(os.path.realpath(path))
-    parent = os.path.dirname(folder)
-    if parent not in sys.path:
-        sys.path.append(parent)
-    pattern = __import__(os.path.basename(folder)).PATTERN
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding(os.path.basename(path), pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_count(tokenizer: str = TOKENIZER):
-    """A column function: the number of tokens of a text under the ranks file ``tokenizer``; null counts 0."""
+def token_count(tokenizer: str = TOKENIZER, pattern: str = PATTERN):
+    """A column function: the number of tokens of a text under the ranks file ``tokenizer``, which every executor has; null counts 0."""
 
     @F.pandas_udf("long")
     def count(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = _encoder(tokenizer).encode_ordinary
+        encoder = _encoder(tokenizer, pattern)
         for texts in parts:
-            yield texts.map(lambda t: len(encode(t)) if t else 0).astype("int64")
+            yield pd.Series([len(t) for t in encoder.encode_ordinary_batch(texts.fillna("").tolist(), num_threads=1)], dtype="int64")
 
     return count
 
@@ -86,7 +82,7 @@ def rates(spark: SparkSession, sizes: DataFrame, targets: DataFrame) -> DataFram
     return spark.createDataFrame(out, "mix_name string, source string, target_share double, tokens long, rate double, planned double")
 
 
-def mixed(docs: DataFrame, targets: DataFrame, *, tokenizer: str = TOKENIZER, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+def mixed(docs: DataFrame, targets: DataFrame, *, tokenizer: str = TOKENIZER, pattern: str = PATTERN, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """The drawn documents and the report of shares.
 
     ``drawn(mix_name, source, doc_id, copy, tokens)`` has one row for each emitted copy (copies count from 0).
@@ -98,8 +94,8 @@ def mixed(docs: DataFrame, targets: DataFrame, *, tokenizer: str = TOKENIZER, se
     spark = docs.sparkSession
     counted = staged(
         docs.where("doc_id IS NOT NULL AND source IS NOT NULL")
-        .join(F.broadcast(targets.select("source").distinct()), "source", "left_semi")
-        .select("doc_id", "source", token_count(tokenizer)(F.col("text")).alias("tokens"))
+        .join(targets.select("source").distinct(), "source", "left_semi")
+        .select("doc_id", "source", token_count(tokenizer, pattern)(F.col("text")).alias("tokens"))
         .dropDuplicates(["doc_id"]),
         "tokens",
     )
@@ -107,7 +103,7 @@ def mixed(docs: DataFrame, targets: DataFrame, *, tokenizer: str = TOKENIZER, se
     unit = (F.xxhash64(F.lit(seed), "mix_name", "doc_id").bitwiseAND(F.lit((1 << 53) - 1))) / F.lit(float(1 << 53))
     copies = (F.floor("rate") + (unit < F.col("rate") - F.floor("rate")).cast("int")).cast("int")
     drawn = (
-        counted.join(F.broadcast(plan.select("mix_name", "source", "rate")), "source")
+        counted.join(plan.select("mix_name", "source", "rate"), "source")
         .withColumn("copies", copies)
         .where("copies > 0")
         .select("mix_name", "source", "doc_id", F.explode(F.expr("sequence(0, copies - 1)")).alias("copy"), "tokens")

@@ -128,6 +128,18 @@ ORACLES = {
         n AS (SELECT chunk_id, count(*) AS n FROM s GROUP BY 1),
         p AS (SELECT a.chunk_id AS a, b.chunk_id AS b, count(*) AS k FROM s a JOIN s b USING (s) WHERE a.chunk_id < b.chunk_id GROUP BY ALL)
         SELECT a AS chunk_a, b AS chunk_b FROM p JOIN n x ON x.chunk_id = a JOIN n y ON y.chunk_id = b WHERE k >= 0.6 * (x.n + y.n - k)""",
+    "p1_groups": r"""
+        WITH RECURSIVE c AS (SELECT chunk_id, any_value(content) AS t FROM code_chunk WHERE chunk_id IS NOT NULL AND content IS NOT NULL GROUP BY 1),
+        w AS (SELECT chunk_id, regexp_extract_all(t, '[\p{L}\p{N}_]+') AS w FROM c),
+        s0 AS (SELECT DISTINCT chunk_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM w),
+        k AS (SELECT chunk_id, md5(string_agg(s, chr(10) ORDER BY s)) AS k, count(*) AS n FROM s0 GROUP BY 1),
+        m AS (SELECT chunk_id, min(chunk_id) OVER (PARTITION BY k) AS rep, n FROM k),
+        s AS (SELECT s0.chunk_id, s, n FROM s0 JOIN m ON m.chunk_id = s0.chunk_id AND m.rep = m.chunk_id),
+        p AS (SELECT a.chunk_id AS a, b.chunk_id AS b, any_value(a.n) AS x, any_value(b.n) AS y, count(*) AS z FROM s a JOIN s b USING (s) WHERE a.chunk_id <> b.chunk_id GROUP BY ALL),
+        e AS (SELECT a, b FROM p WHERE z >= 0.6 * (x + y - z)),
+        r(a, b) AS (SELECT DISTINCT a, a FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+        g AS (SELECT a, min(b) AS g FROM r GROUP BY 1), d AS (SELECT a, count(*) AS links FROM e GROUP BY 1)
+        SELECT chunk_id, coalesce(g, rep) AS group_id, coalesce(links, 0) AS links FROM m LEFT JOIN g ON g.a = rep LEFT JOIN d ON d.a = rep""",
     "p3_found": "SELECT DISTINCT chunk_id FROM code_chunk WHERE length(content) > 4000 AND chunk_id IS NOT NULL",
     "p6_found": """
         WITH r AS (SELECT id, any_value(level) AS level, any_value(embedding) AS e FROM index_record WHERE len(embedding) = 64 GROUP BY 1),

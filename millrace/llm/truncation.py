@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -185,12 +186,12 @@ def truncated(docs: DataFrame) -> DataFrame:
         .agg(F.lit(True).alias("ending_known"), F.max(F.col("at") == 1).alias("literal_known"))
     )
     dots = texts.where("dots <> ''").groupBy("dots").agg(F.count("*").alias("k")).where(F.col("k") >= close).select("dots", F.lit(True).alias("dots_known"))
-    judged = (
-        texts.join(trie.withColumnRenamed("prefix", "token"), "token", "left")
-        .join(inner, "shape", "left")
-        .join(dots, "dots", "left")
-        .join(known, ["h1", "h2"], "left")
-    )
+    # most texts end with no word or dots that must be looked up: they take no part in these joins
+    words = texts.where("token <> ''").select("h1", "h2", F.col("token").alias("prefix")).join(trie, "prefix").select("h1", "h2", "is_word", "goes_on")
+    closed = texts.where("dots <> ''").select("h1", "h2", "dots").join(dots, "dots").select("h1", "h2", "dots_known")
+    told = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (known, words, closed)).groupBy("h1", "h2")
+    told = told.agg(*[F.max(c).alias(c) for c in ("ending_known", "literal_known", "is_word", "goes_on", "dots_known")])
+    judged = texts.join(inner, "shape", "left").join(told, ["h1", "h2"], "left")
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     unknown_prefix = (F.col("token") != "") & ~yes("is_word") & yes("goes_on")
     cut = (
