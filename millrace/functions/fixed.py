@@ -186,3 +186,66 @@ BUDGET_TIERS = {
     "archive": (500, 40_000, False, False),
     "working_set": (0, 20_000, False, True),
 }
+
+# Kind of a command's output: words of its first ten lines, in lower case; the first kind with one of its words wins.
+OUTPUT_WORDS = {
+    "test": ("passed", "failed", "error", "test", "ok", "failures"),
+    "build": ("compiling", "building", "cargo", "cmake", "make", "error:", "warning"),
+    "log": ("debug", "info", "warn", "error", "trace", "[0m", "http://"),
+}
+
+INSTALL_DROP = (
+    r"^Requirement already satisfied:",
+    r"^Collecting ",
+    r"^\s*Downloading ",
+    r"^\s*Using cached ",
+    r"^\s*Preparing metadata",
+    r"^\s*Building wheel",
+    r"^\s*Created wheel",
+    r"^\s*Stored in directory",
+    r"^\s*\|.*\|.*kB",
+)
+INSTALL_KEEP = (
+    r"^Successfully installed",
+    r"^Successfully uninstalled",
+    r"^ERROR",
+    r"^WARNING",
+    r"^\s*ERROR",
+    r"package needs to be reinstalled",
+    r"Could not find",
+)
+ACCESS_DROP = (
+    r"^\d+\.\d+\.\d+\.\d+ - - \[",
+    r'"(GET|POST|PUT|DELETE|HEAD|OPTIONS|PATCH) ',
+    r"^[A-Z][a-z]+ HTTP/\d",
+)
+ACCESS_KEEP = (
+    r"Traceback \(most recent call last\)",
+    r"Exception",
+    r"\b5\d\d\b",
+    r"ERROR",
+)
+
+# Intent of a prompt: patterns that show it.
+PROMPT_INTENTS = {
+    "error": (r"(?i)\berror\b", r"(?i)\bfailed\b", r"(?i)\bcrash\b", r"(?i)\bbug\b", r"(?i)\bexception\b", r"(?i)\btraceback\b", r"(?i)\bpanicked?\b"),
+    "implementation": (r"(?i)\bimplement\b", r"(?i)\badd\b", r"(?i)\bcreate\b", r"(?i)\bwrite\b", r"(?i)\bbuild\b", r"(?i)\bdevelop\b"),
+    "refactoring": (r"(?i)\brefactor\b", r"(?i)\brestructure\b", r"(?i)\bimprove\b", r"(?i)\boptimize\b", r"(?i)\brewrite\b"),
+    "research": (r"(?i)\bfind\b", r"(?i)\bsearch\b", r"(?i)\binvestigate\b", r"(?i)\blook\s+for\b", r"(?i)\bcheck\b", r"(?i)\banalyze\b", r"(?i)\bexplore\b"),
+    "documentation": (r"(?i)\bdocument\b", r"(?i)\bexplain\b", r"(?i)\bdescribe\b", r"(?i)\bcomment\b", r"(?i)\bdocstring\b"),
+    "question": (
+        r"(?i)\bhow\s+do\s+I\b", r"(?i)\bhow\s+can\s+I\b", r"(?i)\bwhat\s+is\b", r"(?i)\bwhy\s+does\b",
+        r"(?i)\bcan\s+you\b", r"(?i)\bhelp\s+me\b", r"(?i)\btell\s+me\b", r"(?i)\bwhat\s+if\b",
+    ),
+    "code-review": (r"(?i)\breview\b", r"(?i)\baudit\b", r"(?i)\bassess\b", r"(?i)\bevalua"),
+    "debugging": (r"(?i)\bdebug\b", r"(?i)\bfix\b", r"(?i)\bpatch\b", r"(?i)\brepair\b", r"(?i)\bsolve\b"),
+    "testing": (r"(?i)\btest\b", r"(?i)\bspec\b", r"(?i)\bverify\b", r"(?i)\bpytest\b", r"(?i)\bunittest\b"),
+    "configuration": (r"(?i)\bconfig(ure|uration)?\b", r"(?i)\bsetup\b", r"(?i)\binstall\b", r"(?i)\bdeploy\b", r"(?i)\benv(ironment)?\b"),
+    "git": (r"(?i)\bcommit\b", r"(?i)\bbranch\b", r"(?i)\bmerge\b", r"(?i)\brebase\b", r"(?i)\bstash\b", r"(?i)\bgit\b"),
+    "shell": (r"(?i)\bshell\b", r"(?i)\bcommand\s+line\b", r"(?i)\bbash\b", r"(?i)\bscript\b", r"(?i)\bcli\b"),
+}
+DEFAULT_PROMPT_INTENT = "general"
+PROMPT_TOPIC = (
+    (r"(?i)\b(analyze|build|create|fix|implement|add|update|modify)\s+(the\s+)?(\w+)", 3),
+    (r"(?i)\b(working\s+on|project|file|module|function|class|api)\s+(\w+)", 2),
+)

@@ -38,9 +38,9 @@ def test_equals_sql(spark, db, name):
 
 
 def test_queries_without_sql_are_known():
-    assert set(QUERIES) - set(SQL) == {"code_chunks", "json_structure", "shortened"}  # tested in test_sources and test_shorten
+    assert set(QUERIES) - set(SQL) == {"code_chunks", "json_structure", "shortened", "shortened_modes"}  # tested in test_sources and test_shorten
 
 
-@pytest.mark.parametrize("name", ["code_chunks", "json_structure", "shortened"])
+@pytest.mark.parametrize("name", ["code_chunks", "json_structure", "shortened", "shortened_modes"])
 def test_runs(spark, name):
     assert QUERIES[name](spark, str(DATA)).count() > 0
