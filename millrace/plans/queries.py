@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import memory, messages, outputs, relations, retrieval, scalars, streams
+from millrace.plans import memory, messages, outputs, relations, retrieval, scalars, search, streams
 
-_MODULES = (retrieval, relations, scalars, outputs, memory, streams, messages)
+_MODULES = (retrieval, search, relations, scalars, outputs, memory, streams, messages)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
