@@ -23,6 +23,17 @@ def matching(records: DataFrame, **filters: object) -> DataFrame:
     return records.where(reduce(lambda a, b: a & b, tests)) if tests else records
 
 
+def without_ids(records: DataFrame, gone: DataFrame, key: str = "id") -> DataFrame:
+    """The records whose key is not among those of ``gone``; a null key stays."""
+    return records.join(gone.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti").select(*records.columns)
+
+
+def without_owner(records: DataFrame, account_id: str, owner_space: str) -> DataFrame:
+    """The records that do not belong to an owner space of an account."""
+    own = (F.col("account_id") == account_id) & (F.regexp_replace("owner_space", "/+$", "") == owner_space.rstrip("/"))
+    return records.where(~F.coalesce(own, F.lit(False)))
+
+
 def latest(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row a key, the greatest by ``order``: an aggregation, so a hot key is reduced before it is shuffled."""
     rest = [c for c in rows.columns if c not in keys]
