@@ -11,11 +11,17 @@ from millrace.operators.ranking import cosine
 from millrace.session import staged
 
 
+def _once(scored: DataFrame, score: str) -> DataFrame:
+    """Each id once; of unlike rows the most similar."""
+    rest = [c for c in scored.columns if c != "id"]
+    return scored.groupBy("id").agg(F.max_by(F.struct(*rest), F.struct(score, "uri")).alias("r")).select("id", "r.*")
+
+
 def seeds(records: DataFrame, vector: Sequence[float], n: int) -> DataFrame:
     """The ``n`` records most similar to the vector, over all levels: ``(id, uri, level, parent_uri, score)``."""
     v = F.array(*[F.lit(float(x)) for x in vector])
     scored = records.select("id", "uri", "level", "parent_uri", cosine(F.col("embedding"), v).alias("score"))
-    return scored.dropDuplicates(["id"]).orderBy(F.desc("score"), "id").limit(n)
+    return _once(scored, "score").orderBy(F.desc("score"), "id").limit(n)
 
 
 def hierarchical(
@@ -33,7 +39,8 @@ def hierarchical(
     start = staged(seeds(records, vector, seed), "seeds")
     found = start.where("level = 2").groupBy("uri").agg(F.max("score").alias("score"))
     frontier = start.where("level < 2").groupBy("uri").agg(F.max("score").alias("score"))
-    children = records.where("parent_uri IS NOT NULL").select("id", "uri", "level", F.regexp_replace("parent_uri", "/+$", "").alias("parent"), cosine(F.col("embedding"), v).alias("own")).dropDuplicates(["id"])
+    children = records.where("parent_uri IS NOT NULL").select("id", "uri", "level", F.regexp_replace("parent_uri", "/+$", "").alias("parent"), cosine(F.col("embedding"), v).alias("own"))
+    children = _once(children, "own")
     seen, same, before = frontier.select("uri"), 0, None
     for _ in range(depth):
         step = frontier.select(F.regexp_replace("uri", "/+$", "").alias("parent"), F.col("score").alias("up")).join(children, "parent")

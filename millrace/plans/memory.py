@@ -37,11 +37,12 @@ def write_keys(spark: SparkSession, d: str) -> DataFrame:
     return r.select("id", M.write_key(F.col("uri"), action, F.col("account_id"), F.md5("text")).alias("write_key"), F.md5(M.merged_text(F.col("category"), F.col("text"))).alias("merged"))
 
 
-@query("""SELECT doc_id, least(500, t) + least(4500, t - least(500, t) - least(1000, t - least(500, t))) AS identity,
-  greatest(0, t) AS total FROM (SELECT doc_id, length(text) * 30 AS t FROM documents)""")
+@query("""WITH t AS (SELECT doc_id, length(text) * 30 AS t FROM documents), a AS (SELECT doc_id, t, least(500, t) AS i, least(1000, t - least(500, t)) AS s FROM t), b AS (SELECT *, t - i - s AS r FROM a),
+  c AS (SELECT doc_id, i + least(5000 - i, r) AS i, s, r - least(5000 - i, r) AS r FROM b), e AS (SELECT doc_id, i, s + least(10000 - s, r) AS s, r - least(10000 - s, r) AS r FROM c)
+  SELECT doc_id, i AS identity, s AS session_state, least(40000, r) AS archive, r - least(40000, r) AS working_set FROM e""")
 def budget(spark: SparkSession, d: str) -> DataFrame:
-    t = F.length("text") * 30
-    return table(spark, d, "documents").select("doc_id", M.allocate(t)["identity"].alias("identity"), sum(M.allocate(t).values(), F.lit(0)).alias("total"))
+    parts = M.allocate(F.length("text") * 30)
+    return table(spark, d, "documents").select("doc_id", *[c.alias(n) for n, c in parts.items()])
 
 
 @query("""WITH q AS (SELECT id, lower(trim(status)) = 'processing' AND id % 3 = 0 AS ok, batch_no % 9 AS n FROM queue_messages)

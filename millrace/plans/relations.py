@@ -23,9 +23,14 @@ def one_hop(spark: SparkSession, d: str) -> DataFrame:
     return J.top_edges(table(spark, d, "relation_edge"), 3)
 
 
-@query("""SELECT from_uri, to_uri, relation_type, count(*) AS copies, max(weight) AS weight FROM relation_edge GROUP BY ALL""")
+@query("""WITH e AS (SELECT from_uri, to_uri, relation_type, coalesce(weight, 0) < 0.5 AS old, max(weight) AS weight FROM relation_edge GROUP BY ALL)
+  SELECT from_uri, to_uri, relation_type, weight FROM e QUALIFY row_number() OVER (PARTITION BY from_uri, to_uri, relation_type ORDER BY old) = 1""")
 def edge_upsert(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "relation_edge").groupBy("from_uri", "to_uri", "relation_type").agg(F.count("*").alias("copies"), F.max("weight").alias("weight"))
+    """Light edges are there, heavy ones arrive and replace those of the same key."""
+    edges, keys = table(spark, d, "relation_edge"), ["from_uri", "to_uri", "relation_type"]
+    once = lambda rows: rows.groupBy(*keys).agg(F.max("weight").alias("weight"))
+    light = F.coalesce("weight", F.lit(0.0)) < 0.5
+    return J.upsert(once(edges.where(light)), once(edges.where(~light)), keys)
 
 
 @query("""SELECT id, uri, level, active_count, epoch_us(updated_at) AS updated_us FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST, active_count DESC NULLS LAST) AS n FROM index_record) WHERE n = 1""")

@@ -60,8 +60,8 @@ _CODE_DOCS = "SELECT chunk_id AS doc, any_value(symbol) AS symbol, any_value(sig
 
 
 def _code_docs(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "code_chunk").select(F.col("chunk_id").alias("doc"), "symbol", "signature", F.col("file_path").alias("path"), F.col("content").alias("body"), "symbol_kind")
-    return rows.dropDuplicates(["doc"])
+    rows = table(spark, d, "code_chunk").select(F.col("chunk_id").alias("doc"), "symbol", "signature", F.col("file_path").alias("path"), F.col("content").alias("body"), "symbol_kind", "ingested_at")
+    return J.latest(rows, ["doc"], [F.col("ingested_at")]).drop("ingested_at")
 
 
 @query(f"SELECT doc, round(score, 6) AS score FROM ({_bm25_sql(_CODE_DOCS, _FIELDS, CODE_ASK)})")
