@@ -87,7 +87,7 @@ def mixed(docs: DataFrame, targets: DataFrame, *, tokenizer: str = TOKENIZER, pa
 
     ``drawn(mix_name, source, doc_id, copy, tokens)`` has one row for each emitted copy (copies count from 0).
     ``report(mix_name, source, target_share, rate, tokens, drawn_tokens, actual_share)`` has one row for each
-    source of a mix, also for those that supply nothing. A repeated ``doc_id`` counts once; rows without an id or a
+    source of a mix, also for those that supply nothing. A repeated ``doc_id`` counts once (of unlike rows the first by source, then the shorter); rows without an id or a
     source are left out; an empty text has 0 tokens and is drawn like any other. The draw depends on id, mix and
     seed only, so it is the same on any partitioning. Empty tables give empty results.
     """
@@ -96,7 +96,9 @@ def mixed(docs: DataFrame, targets: DataFrame, *, tokenizer: str = TOKENIZER, pa
         docs.where("doc_id IS NOT NULL AND source IS NOT NULL")
         .join(targets.select("source").distinct(), "source", "left_semi")
         .select("doc_id", "source", token_count(tokenizer, pattern)(F.col("text")).alias("tokens"))
-        .dropDuplicates(["doc_id"]),
+        .groupBy("doc_id")
+        .agg(F.min(F.struct("source", "tokens")).alias("r"))
+        .select("doc_id", "r.*"),
         "tokens",
     )
     plan = rates(spark, counted.groupBy("source").agg(F.sum("tokens").alias("tokens")), targets)

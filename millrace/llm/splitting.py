@@ -137,13 +137,15 @@ def split_oversized(chunks: DataFrame, *, limit: int = LIMIT, overlap: int = OVE
     ``(chunk_id, piece, start_line, end_line, symbol, begin, end, content)``; ``begin`` and ``end`` count
     characters of the chunk. Lines follow from the chunk's ``start_line`` and are null where that is null. The
     symbol is that of the last definition begun at or before the piece, else the chunk's own, else the first
-    definition inside. Repeated deliveries of a ``chunk_id`` count once. Chunks within the limit, null and empty
+    definition inside. Repeated deliveries of a ``chunk_id`` count once (of unlike ones the first by line). Chunks within the limit, null and empty
     contents give no row; rows without a ``chunk_id`` are left out. Other columns are not read.
     """
     long = (
         chunks.select("chunk_id", "content", F.col("start_line").cast("int").alias("start_line"), "symbol")
         .where((F.length("content") > limit) & F.col("chunk_id").isNotNull())
-        .dropDuplicates(["chunk_id"])
+        .groupBy("chunk_id")
+        .agg(F.min_by(F.struct("content", "start_line", "symbol"), F.struct("start_line", F.xxhash64("content", "symbol"))).alias("r"))
+        .select("chunk_id", "r.*")
     )
     key = long.schema["chunk_id"].dataType.simpleString()
     schema = f"chunk_id {key}, piece int, start_line int, end_line int, symbol string, begin int, end int, content string"
