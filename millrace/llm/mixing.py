@@ -24,6 +24,7 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how the byte-level vocabularies of fifty thousand tokens cut a text before its pairs are merged.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SEED = 42
+SMALL = 100_000  # rows of a mix table that may be broadcast; a larger one is joined by a shuffle
 
 
 @lru_cache(maxsize=2)
@@ -92,9 +93,10 @@ def mixed(docs: DataFrame, targets: DataFrame, *, tokenizer: str = TOKENIZER, pa
     seed only, so it is the same on any partitioning. Empty tables give empty results.
     """
     spark = docs.sparkSession
+    sent = lambda rows: F.broadcast(rows) if rows.count() <= SMALL else rows
     counted = staged(
         docs.where("doc_id IS NOT NULL AND source IS NOT NULL")
-        .join(targets.select("source").distinct(), "source", "left_semi")
+        .join(sent(targets.select("source").distinct()), "source", "left_semi")
         .select("doc_id", "source", token_count(tokenizer, pattern)(F.col("text")).alias("tokens"))
         .groupBy("doc_id")
         .agg(F.min(F.struct("source", "tokens")).alias("r"))
@@ -105,7 +107,7 @@ def mixed(docs: DataFrame, targets: DataFrame, *, tokenizer: str = TOKENIZER, pa
     unit = (F.xxhash64(F.lit(seed), "mix_name", "doc_id").bitwiseAND(F.lit((1 << 53) - 1))) / F.lit(float(1 << 53))
     copies = (F.floor("rate") + (unit < F.col("rate") - F.floor("rate")).cast("int")).cast("int")
     drawn = (
-        counted.join(plan.select("mix_name", "source", "rate"), "source")
+        counted.join(sent(plan.select("mix_name", "source", "rate")), "source")
         .withColumn("copies", copies)
         .where("copies > 0")
         .select("mix_name", "source", "doc_id", F.explode(F.expr("sequence(0, copies - 1)")).alias("copy"), "tokens")
