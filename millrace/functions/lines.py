@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -64,13 +64,24 @@ def critical_first(text: Column, most: int) -> Column:
     return T.let(lines(text), cut)
 
 
+def _is_error(x: Column) -> Column:
+    return T.matches(x, fixed.ERROR_ANYWHERE)
+
+
+def _is_warning(x: Column) -> Column:
+    return T.let(F.lower(x), lambda low: reduce(lambda a, b: a | b, [low.contains(w) for w in fixed.WARNING_WORDS]))
+
+
+def _telling(rows: Column, test: Callable[[Column], Column], most: int) -> Column:
+    return F.slice(F.transform(F.filter(rows, test), lambda x: F.trim(x)), 1, most)
+
+
 def error_lines(text: Column, most: int = 10) -> Column:
-    return F.slice(F.transform(F.filter(lines(text), lambda x: T.matches(x, fixed.ERROR_ANYWHERE)), lambda x: F.trim(x)), 1, most)
+    return _telling(lines(text), _is_error, most)
 
 
 def warning_lines(text: Column, most: int = 10) -> Column:
-    found = F.filter(lines(text), lambda x: reduce(lambda a, b: a | b, [F.lower(x).contains(w) for w in fixed.WARNING_WORDS]))
-    return F.slice(F.transform(found, lambda x: F.trim(x)), 1, most)
+    return _telling(lines(text), _is_warning, most)
 
 
 def summary(text: Column, most: int = 50) -> Column:
@@ -78,7 +89,7 @@ def summary(text: Column, most: int = 50) -> Column:
     tail = -(-most // 4)
 
     def cut(L: Column) -> Column:
-        parts = F.concat(F.slice(L, 1, most // 2), error_lines(text, 5), warning_lines(text, 5), F.slice(L, F.size(L) - tail + 1, tail))
+        parts = F.concat(F.slice(L, 1, most // 2), _telling(L, _is_error, 5), _telling(L, _is_warning, 5), F.slice(L, F.size(L) - tail + 1, tail))
         return F.when(F.size(L) <= most, text).otherwise(F.array_join(parts, "\n"))
 
     return T.let(lines(text), cut)

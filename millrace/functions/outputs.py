@@ -93,17 +93,20 @@ def compact_json(text: Column) -> Column:
 
 def compact_log(text: Column) -> Column:
     """Runs of more than two equal lines folded, then at most 80 lines."""
-    return L.head_tail(L.runs(text, 2), 80)
+    return T.let(L.runs(text, 2), lambda t: L.head_tail(t, 80))
 
 
 def compacted(text: Column) -> Column:
     """An output condensed by the rule of its kind; generic ones to 60 lines."""
     forms = {"test": compact_test, "build": compact_build, "json": compact_json, "log": compact_log}
-    kind = output_kind(text)
-    out = L.head_tail(L.runs(text), 60)
-    for name, f in forms.items():
-        out = F.when(kind == name, f(text)).otherwise(out)
-    return out
+
+    def form(kind: Column) -> Column:
+        out = T.let(L.runs(text), lambda t: L.head_tail(t, 60))
+        for name, f in forms.items():
+            out = F.when(kind == name, f(text)).otherwise(out)
+        return out
+
+    return T.let(output_kind(text), form)
 
 
 def without_comments(text: Column) -> Column:
@@ -124,21 +127,17 @@ MODES = {
 def shortened(text: Column, mode: str) -> Column:
     """The stages of a mode one after the other: comments, repeated lines, head and tail, summary."""
     comments, warnings, most, tail, summary = MODES[mode]
-    out = without_comments(text) if comments else text
-    out = L.distinct_warnings(L.runs(out)) if warnings else L.runs(out)
-    if most:
-        out = L.head_tail(out, most, tail)
-    return L.summary(out, summary) if summary else out
+    stages = [without_comments] * comments + [lambda t: L.runs(t)] + [L.distinct_warnings] * warnings
+    stages += [lambda t: L.head_tail(t, most, tail)] * bool(most) + [lambda t: L.summary(t, summary)] * bool(summary)
+    return reduce(T.let, stages, text)  # each stage takes the text of the one before as a value
 
 
 def adaptive(text: Column) -> Column:
     """``struct(kind, text, ratio)``: shortened by the mode that fits the content type."""
-    kind = T.content_type(text)
-    out = F.when(kind == "CODE", shortened(text, "code")).when(kind.isin("LOG", "ERROR"), shortened(text, "log"))
-    out = out.when(kind == "MEMORY", shortened(text, "memory")).otherwise(shortened(text, "generic"))
-    return T.let(F.struct(kind.alias("kind"), out.alias("text")), lambda s: F.struct(
-        s["kind"].alias("kind"), s["text"].alias("text"), F.when(F.length(text) > 0, F.length(s["text"]) / F.length(text)).otherwise(1.0).alias("ratio"),
-    ))
+    mode = lambda k: F.when(k == "CODE", shortened(text, "code")).when(k.isin("LOG", "ERROR"), shortened(text, "log")).when(k == "MEMORY", shortened(text, "memory")).otherwise(shortened(text, "generic"))
+    found = T.let(T.content_type(text), lambda k: F.struct(k.alias("kind"), mode(k).alias("text")))
+    ratio = lambda s: F.when(F.length(text) > 0, F.length(s["text"]) / F.length(text)).otherwise(1.0)
+    return T.let(found, lambda s: F.struct(s["kind"].alias("kind"), s["text"].alias("text"), ratio(s).alias("ratio")))
 
 
 def command_word(command: Column) -> Column:
