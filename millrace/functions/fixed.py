@@ -249,3 +249,11 @@ PROMPT_TOPIC = (
     (r"(?i)\b(analyze|build|create|fix|implement|add|update|modify)\s+(the\s+)?(\w+)", 3),
     (r"(?i)\b(working\s+on|project|file|module|function|class|api)\s+(\w+)", 2),
 )
+
+REASONING = (
+    r"(?im)^Let me think|First,? I|In summary,? |Therefore,? |The answer is",
+    r"(?m)^Step \d+[\.:]\s",
+    r"(?m)^\d+\.\s+[A-Z]",
+    r"(?m)^\-\s+[A-Z][a-z]",
+)
+COMMON_ABBREVIATIONS = ("I", "A", "API", "URL", "ID", "LLM")

@@ -6,9 +6,11 @@ and a text that holds nothing of the kind comes back as it is.
 
 from __future__ import annotations
 
+import ast
 import re
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -175,8 +177,54 @@ def narrow(text: str, width: int = 200) -> str:
     return "\n".join(r if len(r) <= width else r[:width] + "..." for r in text.split("\n"))
 
 
+_PASSING = (
+    r"(?:\S+\.py::\S+[ \t]+(?:PASSED|XPASS)(?:[ \t]+\[[ \t]*\d+%\])?"
+    r"|test_\S+(?:[ \t]*\([^)\n]+\))?(?:\n(?!test_)[^\n]*?)?[ \t]*\.\.\.[ \t]*(?:ok|OK))[ \t]*$"
+)
+_PASSING_RUN = re.compile(rf"(?m)(?:^{_PASSING}\n?)+")
+_PASSING_ONE = re.compile(rf"(?m)^{_PASSING}")
+
+
+def test_runs(text: str) -> str:
+    """Runs of passing tests (a line each, or two with a description) as one marker; failures and all else stay."""
+
+    def marker(m: re.Match) -> str:
+        n = len(_PASSING_ONE.findall(m.group()))
+        return f"... [{n} passing tests]" + "\n" * m.group().endswith("\n")
+
+    return _PASSING_RUN.sub(marker, text)
+
+
+_KEPT = re.compile(
+    r"[ \t]*(?:@\S+|(?:async\s+)?def\s+\w|class\s+\w|from\s+\S+\s+import\b|import\s+\w|if\s+__name__\s*==|[A-Z][A-Z0-9_]*\s*(?::\s*[^=]+)?\s*=)"
+)
+
+
+def python_slice(text: str) -> str:
+    """Definitions, imports and constants of a piece of Python that need not parse; what lies between is counted."""
+    out = []
+    for kept, rows in groupby(text.splitlines(), key=lambda r: _KEPT.match(r) is not None):
+        out += rows if kept else [f"    # {_more(len(list(rows)))}"]
+    return "\n".join(out)
+
+
+def python_outline(text: str, least: float = 0.8) -> str:
+    """A module with its functions' docstrings in place of their bodies. What does not parse is outlined by lines, if that
+    leaves less than ``least`` of it."""
+    try:
+        tree = ast.parse(text)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        short = python_slice(text)
+        return short if len(short) < least * len(text) else text
+    for node in ast.walk(tree):
+        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
+            told = ast.get_docstring(node, clean=False) is not None
+            node.body = node.body[:told] + [ast.Expr(ast.Constant(...))]
+    return ast.unparse(ast.fix_missing_locations(tree))
+
+
 SHORTENERS: dict[str, Callable[[str], str]] = {
-    f.__name__: f for f in (diff_context, patch_hunks, history, work_tree, steps, error_report, long_blocks, by_rule, sections, sixty_forty, narrow)
+    f.__name__: f for f in (diff_context, patch_hunks, history, work_tree, steps, error_report, long_blocks, by_rule, sections, sixty_forty, narrow, test_runs, python_outline)
 }
 
 

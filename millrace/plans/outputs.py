@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions import fixed
 from millrace.functions import outputs as O
+from millrace.functions import replies as P
+from millrace.operators import usage as U
 from millrace.plans.registry import Registry
 from millrace.plans.scalars import _L, _LINES
 from millrace.sources.tables import table
@@ -93,6 +96,47 @@ def prompt_keywords(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", O.prompt_keywords(t).alias("keywords"), O.prompt_topic(t).alias("topic"))
 
 
+_LINE = f"(SELECT doc_id, text, {_L} AS l, substr(text, 1, 500) AS head FROM documents)"
+_DEF = r"^\s*(?:async\s+)?(def|class)\s+(\w+)"
+
+
+@query(rf"""SELECT doc_id, concat_ws(',', 'patch', nullif(array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(text, '(?m)^--- a/(\S+)', 1), regexp_extract_all(text, '(?m)^\+\+\+ b/(\S+)', 1))))[1:5], ','), '')) AS patch,
+  concat_ws(',', 'tool_call', coalesce(nullif(regexp_extract(text, '<name>(\w+)</name>', 1), ''), nullif(regexp_extract(text, '"name":\s*"(\w+)"', 1), ''), nullif(regexp_extract(text, 'Calling tool:\s*(\w+)', 1), ''))) AS call,
+  concat_ws(',', 'code', nullif(array_to_string(list_filter(list_transform(l[1:30], lambda x: CASE WHEN regexp_matches(x, '{_DEF}') THEN regexp_extract(x, '{_DEF}', 1) || ':' || regexp_extract(x, '{_DEF}', 2) WHEN regexp_matches(x, '^\s*@(\w+)') THEN 'decorator:' || regexp_extract(x, '^\s*@(\w+)', 1) END), lambda x: x IS NOT NULL)[1:5], ','), '')) AS code,
+  CASE WHEN regexp_matches(text, '(?m)^--- a/|^\+\+\+ b/') OR contains(text, 'diff --git') THEN 'patch' WHEN contains(text, '<tool_call>') OR contains(head, 'Calling tool:') OR (contains(head, '"name":') AND contains(head, '"arguments":')) THEN 'tool_call'
+    WHEN contains(text, 'Traceback (most recent call last)') OR (regexp_matches(head, '\b(Error|Exception|Failed|failed|error|SEVERE)\b') AND length(text) > 200) THEN 'error'
+    WHEN length(text) > 500 AND (regexp_matches(head, '(?im)^Let me think|First,? I|In summary,? |Therefore,? |The answer is') OR regexp_matches(head, '(?m)^Step \d+[.:]\s|^\d+\.\s+[A-Z]|^-\s+[A-Z][a-z]')) THEN 'reasoning' ELSE 'other' END AS kind FROM {_LINE}""")
+def reply_words(spark: SparkSession, d: str) -> DataFrame:
+    """The kind of every text (code and generic as one), and the keywords of three kinds."""
+    t = F.col("text")
+    kind = P.reply_kind(t)
+    return table(spark, d, "documents").select("doc_id", P.patch_words(t).alias("patch"), P.call_words(t).alias("call"), P.code_words(t).alias("code"), F.when(kind.isin("code", "generic"), "other").otherwise(kind).alias("kind"))
+
+
+@query("""WITH c AS (SELECT user_id AS session, event_type AS tool, CASE WHEN value > 20 THEN 'completed' ELSE 'failed' END AS status, CAST(floor(value * 10) AS BIGINT) AS ms, event_id % 7 AS tokens FROM events)
+  SELECT session, string_agg('- ' || tool || ': ' || n || ' calls, ' || good || ' good, ' || (n - good) || ' bad', chr(10) ORDER BY n DESC, tool) AS report, CAST(sum(ms) AS BIGINT) AS ms, CAST(sum(tokens) AS BIGINT) AS tokens
+  FROM (SELECT session, tool, count(*) AS n, count(*) FILTER (status = 'completed') AS good, sum(coalesce(ms, 0)) AS ms, sum(tokens) AS tokens FROM c GROUP BY 1, 2) GROUP BY 1""")
+def tool_report(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    calls = e.select(F.col("user_id").alias("session"), F.col("event_type").alias("tool"), F.when(F.col("value") > 20, "completed").otherwise("failed").alias("status"), F.floor(F.col("value") * 10).alias("ms"), (F.col("event_id") % 7).alias("tokens"))
+    stats = U.tool_stats(calls)
+    return U.tool_report(stats).join(stats.groupBy("session").agg(F.sum("ms").alias("ms"), F.sum("tokens").alias("tokens")), "session")
+
+
+@query(rf"""WITH l AS (SELECT doc_id, trim(x) AS line FROM (SELECT doc_id, unnest({_L}) AS x FROM documents) WHERE regexp_matches(x, '(?i:^\s*(?:error|severe|fail|failed|failure|exception)\b)|(?i:^\s*errno\s*[=:]\s*\d+)|^\s*Traceback\s*\(most recent call last\)|^\s*File\s+".*",\s+line\s+\d+')),
+  t AS (SELECT doc_id, line, regexp_replace(regexp_replace(regexp_replace(line, 'File\s+"[^"\n]*",\s+line\s+\d+', 'File "...", line <N>', 'g'), '0x[0-9a-fA-F]+', '<ADDR>', 'g'), '\berrno\s*[=:]\s*\d+', 'errno=<N>', 'g') AS template FROM l)
+  SELECT template, count(*) AS lines, count(DISTINCT doc_id) AS texts, min(line) AS example FROM t GROUP BY 1""")
+def line_templates(spark: SparkSession, d: str) -> DataFrame:
+    return U.line_templates(table(spark, d, "documents"), fixed.ERROR_LINE)
+
+
+@query("""WITH f AS (SELECT repo || '/' || file_path AS path, count(DISTINCT chunk_id) AS chunks FROM code_chunk GROUP BY 1), p AS (SELECT path, chunks, string_split(path, '/') AS p FROM f),
+  a AS (SELECT array_to_string(p[1:k], '/') AS folder, chunks FROM (SELECT p, chunks, unnest(range(0, len(p))) AS k FROM p)) SELECT folder, count(*) AS files, CAST(sum(chunks) AS BIGINT) AS chunks FROM a GROUP BY 1""")
+def folder_sums(spark: SparkSession, d: str) -> DataFrame:
+    files = table(spark, d, "code_chunk").groupBy(F.concat_ws("/", "repo", "file_path").alias("path")).agg(F.count_distinct("chunk_id").alias("n"))
+    return U.rolled_up(files, {"chunks": F.col("n")})
+
+
 @query()
 def shortened_modes(spark: SparkSession, d: str) -> DataFrame:
     """Every mode, the adaptive one, and outputs condensed by their kind: the digests of what is left."""

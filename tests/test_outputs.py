@@ -48,3 +48,32 @@ def test_prompts(spark):
     assert one(spark, O.prompt_keywords, "Please fix the failed build") == "error,implementation,debugging"
     assert one(spark, O.prompt_keywords, "blue skies over town") == "blue,skies,over" and one(spark, O.prompt_keywords, "a 12 ?") == "general" and one(spark, O.prompt_keywords, None) == ""
     assert one(spark, O.prompt_topic, "fix the parser") == "parser" and one(spark, O.prompt_topic, "add it to module loader") == "loader" and one(spark, O.prompt_topic, "hm") is None
+
+
+@pytest.mark.parametrize(
+    "text,kind,words",
+    [
+        ("--- a/y.py\n+++ b/x.py\n@@", "patch", "patch,x.py,y.py"), ('{"name": "grep", "arguments": 1}', "tool_call", "tool_call,grep"),
+        ("Traceback (most recent call last)\nError: no such thing", "error", "error,Error,no such thing"), ("x\n" * 300 + "", "generic", "generic"),
+        ("1. Read the log\n2. Find it\n" + "so on and on\n" * 60, "reasoning", "reasoning,Read the log,Find it,so on and on"),
+        ("import os\nif x:\n# note\n@dec\ndef f():\n", "code", "code,decorator:dec,def:f"), ("The HTTP server of the CPU\nfine", "generic", "generic,The HTTP server the,HTTP"), ("", "generic", "generic"), (None, "generic", "generic"),
+    ],
+)
+def test_replies(spark, text, kind, words):
+    from millrace.functions import replies as P
+
+    assert one(spark, P.reply_kind, text) == kind and one(spark, P.reply_words, text) == words
+
+
+def test_usage(spark):
+    from millrace.functions import fixed
+    from millrace.operators import usage as U
+
+    calls = spark.createDataFrame([("s", "read", "success", 5, 1), ("s", "read", None, None, None), ("s", "write", "completed", 2, 3), ("s", "", "success", 9, 9), (None, "read", "x", 1, 1)], "session string, tool string, status string, ms long, tokens long")
+    stats = {(r["session"], r["tool"]): (r["calls"], r["good"], r["bad"], r["ms"], r["tokens"]) for r in U.tool_stats(calls).collect()}
+    assert stats == {("s", "read"): (2, 1, 1, 5, 1), ("s", "write"): (1, 1, 0, 2, 3), (None, "read"): (1, 0, 1, 1, 1)}
+    assert U.tool_report(U.tool_stats(calls)).where("session = 's'").first()["report"] == "- read: 2 calls, 1 good, 1 bad\n- write: 1 calls, 1 good, 0 bad"
+    texts = spark.createDataFrame([(1, 'File "a.py", line 3\nFile "b.py", line 4\nfine'), (2, '  File "a.py", line 9'), (3, None), (4, "")], "doc_id int, text string")
+    assert [(r["lines"], r["texts"], r["example"]) for r in U.line_templates(texts, fixed.ERROR_LINE).collect()] == [(3, 2, 'File "a.py", line 3')]
+    tree = spark.createDataFrame([("a/b/c", 2), ("a/d", 3), ("e", None), (None, 9)], "path string, n int")
+    assert {tuple(r) for r in U.rolled_up(tree, {"n": F.col("n")}).collect()} == {("", 3, 5), ("a", 2, 5), ("a/b", 1, 2)}

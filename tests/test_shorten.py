@@ -53,3 +53,17 @@ def test_register():
     assert S.SHORTENERS.pop("upper")("a") == "A"
     with pytest.raises(ValueError):
         S.register("steps", str.upper)
+
+
+def test_passing_tests_become_a_marker():
+    log = "start\ntests/a.py::test_x PASSED [ 10%]\ntests/a.py::test_y PASSED\ntests/a.py::test_z FAILED [ 30%]\ntest_a (m.C) ... ok\ntest_b (m.C)\nsays what ... ok\ntest_c (m.C) ... ERROR\ntest_d ... ok"
+    assert S.test_runs(log).split("\n") == ["start", "... [2 passing tests]", "tests/a.py::test_z FAILED [ 30%]", "... [2 passing tests]", "test_c (m.C) ... ERROR", "... [1 passing tests]"]
+    assert S.test_runs("none of it\n") == "none of it\n"
+
+
+def test_python_outlines():
+    source = 'import os\nX = 1\n\nclass A(B):\n    """of A"""\n\n    @d\n    async def f(self, a=1):\n        """of f"""\n        def g(): pass\n        return g\n\ndef h():\n    return 1\n'
+    assert S.python_outline(source) == 'import os\nX = 1\n\nclass A(B):\n    """of A"""\n\n    @d\n    async def f(self, a=1):\n        """of f"""\n        ...\n\ndef h():\n    ...'
+    piece = "    return a\n  def f(self):\n" + "      work()\n" * 20 + "LIMIT: int = 3\n"
+    assert S.python_outline(piece).split("\n") == ["    # ... [1 more lines]", "  def f(self):", "    # ... [20 more lines]", "LIMIT: int = 3"]
+    assert S.python_outline("no python at all (") == "no python at all ("
