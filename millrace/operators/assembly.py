@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import fixed
+from millrace.functions import names as N
 from millrace.functions import text as T
 from millrace.operators import ranking as K
 from millrace.operators import relational as J
@@ -133,15 +134,9 @@ def assembled(hits: DataFrame, n: int, *, contents: DataFrame | None = None, fil
     return top.join(told, "uri", "left").withColumn("relations", F.coalesce("relations", F.array().cast("array<string>")))
 
 
-def identity(path: Column) -> Column:
-    """A path as the part of an address: lower case, underscores for all but letters and digits."""
-    s = F.regexp_replace(F.regexp_replace(F.trim(F.lower(path)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
-    return F.when(s == "", "code_chunk").otherwise(s)
-
-
 def of_candidates(hits: DataFrame, paths: Sequence[str]) -> DataFrame:
     """Hits whose address contains the identity of one of a bounded list of paths; all where the list is empty."""
     if not paths:
         return hits
-    marks = hits.sparkSession.createDataFrame([(p,) for p in paths], "p string").select(F.collect_set(identity(F.col("p")))).first()[0]
+    marks = hits.sparkSession.createDataFrame([(p,) for p in paths], "p string").select(F.collect_set(N.identity(F.col("p")))).first()[0]
     return hits.where(reduce(lambda a, b: a | b, [F.col("uri").contains(m) for m in sorted(marks)]))

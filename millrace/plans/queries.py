@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import answers, memory, messages, outputs, relations, retrieval, scalars, search, streams
+from millrace.plans import answers, memory, messages, names, outputs, relations, retrieval, scalars, search, streams
 
-_MODULES = (retrieval, search, answers, relations, scalars, outputs, memory, streams, messages)
+_MODULES = (retrieval, search, answers, relations, scalars, outputs, names, memory, streams, messages)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -35,6 +35,29 @@ def dequeue(messages: DataFrame, n: int) -> DataFrame:
     return best.select("queue_name", F.posexplode("ids").alias("at", "id")).select("queue_name", "id", (F.col("at") + 1).alias("position"))
 
 
+def retained(chunks: DataFrame, stream: str, order: str, n: int = 100) -> DataFrame:
+    """``(stream, order)`` of the last ``n`` chunks of each stream: what a new reader is given before what comes next.
+
+    Bounded lists in two steps, the first salted, as one stream may hold a third of all rows.
+    """
+    newest = lambda c: F.slice(F.sort_array(c, asc=False), 1, n)
+    salt, part = F.pmod(F.xxhash64(order), F.lit(256)), F.spark_partition_id()
+    first = chunks.where(F.col(order).isNotNull()).groupBy(stream, salt.alias("s"), part.alias("p")).agg(newest(F.collect_list(order)).alias("c"))
+    some = first.groupBy(stream, "s").agg(newest(F.flatten(F.collect_list("c"))).alias("c"))
+    return some.groupBy(stream).agg(newest(F.flatten(F.collect_list("c"))).alias("c")).select(stream, F.explode("c").alias(order))
+
+
+def enqueue(messages: DataFrame, path: str) -> None:
+    """Append messages to a queue table as pending ones; what reads the table as a stream sees them next."""
+    messages.withColumns({"status": F.lit("pending"), "processing_started_at": F.lit(None).cast("long")}).write.mode("append").parquet(path)
+
+
+def taken(messages: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """At most once: the ``n`` oldest pending messages of each queue, and the table without them."""
+    got = dequeue(messages, n)
+    return got, messages.join(got.select("id"), "id", "left_anti").select(*messages.columns)
+
+
 def acknowledge(messages: DataFrame, done: DataFrame) -> DataFrame:
     """Messages left when those in ``done(id)`` that are processing are deleted."""
     acked = messages.where(F.lower(F.trim("status")) == "processing").select("id").join(done.select("id").distinct(), "id", "left_semi")
