@@ -6,6 +6,7 @@ Null stays null unless a default is named.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column
@@ -159,6 +160,36 @@ def command_output(command: Column, output: Column, expected: Column) -> Column:
     )
 
 
+@dataclass(frozen=True)
+class Profile:
+    """Outputs that one shortener fits: programs, categories, patterns and extensions that tell of them."""
+
+    name: str
+    shortener: str
+    commands: tuple[str, ...] = ()
+    categories: tuple[str, ...] = ()
+    patterns: tuple[str, ...] = ()
+    extensions: tuple[str, ...] = ()
+    priority: int = 0
+
+
+BY_COMMAND, BY_CATEGORY, BY_PATTERN, BY_EXTENSION, LEAST = 100, 80, 50, 30, 30  # fixed values
+
+
+def routed(text: Column, command: Column, path: Column, category: Column, profiles: Sequence[Profile]) -> Column:
+    """``struct(score, priority, place, name, shortener)`` of the profile that fits best, or null where none reaches the least
+    score; of equal ones the higher priority, then the one named first. Profiles are a list of one's own, not a table."""
+    said, end = command_word(command), T.extension(path)
+    point = lambda test, n: F.when(F.coalesce(test, F.lit(False)), n).otherwise(0)
+
+    def fit(place: int, p: Profile) -> Column:
+        score = point(said.isin(*p.commands), BY_COMMAND) + point(category.isin(*p.categories), BY_CATEGORY) + point(end.isin(*p.extensions), BY_EXTENSION)
+        score = score + (point(T.matches(text, p.patterns), BY_PATTERN) if p.patterns else F.lit(0))
+        return F.struct(score.alias("score"), F.lit(p.priority).alias("priority"), F.lit(-place).alias("place"), F.lit(p.name).alias("name"), F.lit(p.shortener).alias("shortener"))
+
+    return F.array_max(F.filter(F.array(*[fit(i, p) for i, p in enumerate(profiles)]), lambda x: x["score"] >= LEAST))
+
+
 def prompt_keywords(text: Column) -> Column:
     """The intents a prompt shows, comma between; without one three of its first five words; else ``general``; empty for a blank text."""
     none = F.lit(None).cast("string")

@@ -137,6 +137,23 @@ def folder_sums(spark: SparkSession, d: str) -> DataFrame:
     return U.rolled_up(files, {"chunks": F.col("n")})
 
 
+_PROFILES = (
+    O.Profile("tests", "test_runs", commands=("pytest",), categories=("test_log",), patterns=(r"\bPASSED\b", r"\bFAILED\b"), priority=2),
+    O.Profile("python", "python_outline", extensions=("py",), patterns=(r"(?m)^def ",), priority=1),
+    O.Profile("logs", "narrow", categories=("tool_log", "test_log"), priority=1),
+)
+
+
+@query(r"""WITH t AS (SELECT doc_id, source, CASE WHEN regexp_matches(text, '\b(PASSED|FAILED)\b') THEN 50 ELSE 0 END + CASE WHEN source = 'test_log' THEN 80 ELSE 0 END + CASE WHEN doc_id % 5 = 0 THEN 100 ELSE 0 END AS a,
+    CASE WHEN regexp_matches(text, '(?m)^def ') THEN 50 ELSE 0 END + CASE WHEN doc_id % 3 = 0 THEN 30 ELSE 0 END AS b, CASE WHEN source IN ('tool_log', 'test_log') THEN 80 ELSE 0 END AS c FROM documents)
+  SELECT doc_id, CASE WHEN greatest(a, b, c) < 30 THEN NULL WHEN a >= b AND a >= c THEN 'tests' WHEN b >= c THEN 'python' ELSE 'logs' END AS profile, CASE WHEN greatest(a, b, c) >= 30 THEN greatest(a, b, c) END AS score FROM t""")
+def routed_outputs(spark: SparkSession, d: str) -> DataFrame:
+    command = F.when(F.col("doc_id") % 5 == 0, "X=1 /bin/pytest -q").otherwise("ls")
+    path = F.when(F.col("doc_id") % 3 == 0, "a/b.PY").otherwise("a/b")
+    best = O.routed(F.col("text"), command, path, F.col("source"), _PROFILES)
+    return table(spark, d, "documents").select("doc_id", best.alias("r")).select("doc_id", F.col("r.name").alias("profile"), "r.score")
+
+
 @query()
 def shortened_modes(spark: SparkSession, d: str) -> DataFrame:
     """Every mode, the adaptive one, and outputs condensed by their kind: the digests of what is left."""

@@ -15,28 +15,42 @@ from millrace.sources.tables import exactly
 def heartbeat_sessions(spark: SparkSession, path: str, *, key: str = "user_id", at: str = "ts", timeout: str = "5 minutes", delay: str = "40 days") -> DataFrame:
     """``(key, start_us, end_us, beats)``: spans in which a key was kept alive, each beat renewing it for ``timeout``.
 
-    A session window in the state store, updated in every micro-batch; sessions still open when the input ends are
-    part of the result, with the end they have so far.
+    A session window in the state store; a session leaves it, and is written once, when the watermark passes its end.
+    Sessions still open when the input ends come out by two closing beats, far behind the last one, that the stream reads
+    from a folder of its own. Beats without a time are left out, and in an input of several batches those that come more than ``delay`` behind; a null key is a key, an empty input gives an empty result.
     """
     base = work_dir(spark, "heartbeats")
-    schema = spark.read.parquet(path).schema
-    beats = spark.readStream.schema(schema).parquet(exactly(path)).select(F.col(key).alias("key"), F.col(at).cast("timestamp").alias("at")).where("at IS NOT NULL")
-    spans = beats.withWatermark("at", delay).groupBy("key", F.session_window("at", timeout).alias("w")).agg(F.count("*").alias("beats"))
-    # session windows have no update mode: a complete result is written by the last batch
-    with rocksdb_state(spark):
-        query = (
-            spans.select("key", F.unix_micros("w.start").alias("start_us"), F.unix_micros("w.end").alias("end_us"), "beats")
-            .writeStream.outputMode("complete")
-            .option("checkpointLocation", f"{base}/checkpoint")
-            .trigger(availableNow=True)
-            .foreachBatch(lambda batch, i: batch.write.mode("overwrite").parquet(f"{base}/out"))
-            .start()
-        )
-        query.awaitTermination()
-    out = "key {}, start_us long, end_us long, beats long".format(schema[key].dataType.simpleString())
-    if not exists(spark, f"{base}/out"):  # an empty input writes no batch
+    table = spark.read.parquet(path)
+    kind = table.schema[key].dataType.simpleString()
+    out = f"key {kind}, start_us long, end_us long, beats long"
+    last = table.agg(F.max(F.col(at).cast("timestamp"))).first()[0]
+    if last is None:
         return spark.createDataFrame([], out)
-    return spark.read.schema(out).parquet(f"{base}/out")
+    closing = f"key {kind}, at timestamp"
+    spark.createDataFrame([], closing).write.parquet(f"{base}/closing")
+    beats = spark.readStream.schema(table.schema).parquet(exactly(path)).select(F.col(key).alias("key"), F.col(at).cast("timestamp").alias("at"), F.lit(False).alias("closing"))
+    ends = spark.readStream.schema(closing).parquet(f"{base}/closing").withColumn("closing", F.lit(True))
+    every = beats.union(ends).where("at IS NOT NULL").withWatermark("at", delay)
+    spans = every.groupBy("key", "closing", F.session_window("at", timeout).alias("w")).agg(F.count("*").alias("beats"))
+
+    def write(batch: DataFrame, batch_id: int) -> None:  # a filter in the stream would keep closing beats from its watermark
+        batch.where("NOT closing").drop("closing").write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
+
+    with rocksdb_state(spark):
+        for turn in range(3):
+            if turn:  # the first closing beat moves the watermark, the batch of the second one lets go what it has passed
+                late = F.lit(last) + F.expr(f"({turn} + 1) * (INTERVAL '{delay}' + INTERVAL '{timeout}')")
+                spark.range(1).select(F.lit(None).cast(kind).alias("key"), late.alias("at")).write.mode("append").parquet(f"{base}/closing")
+            query = (
+                spans.select("key", "closing", F.unix_micros("w.start").alias("start_us"), F.unix_micros("w.end").alias("end_us"), "beats")
+                .writeStream.outputMode("append")
+                .option("checkpointLocation", f"{base}/checkpoint")
+                .trigger(availableNow=True)
+                .foreachBatch(write)
+                .start()
+            )
+            query.awaitTermination()
+    return spark.read.schema(out).parquet(f"{base}/out").select("key", "start_us", "end_us", "beats")
 
 
 def alive_at(last: DataFrame, now_us: int, timeout_s: int = 300) -> DataFrame:

@@ -76,3 +76,15 @@ def test_page_rank_is_bounded(spark):
 def test_rotation_opens_a_part_for_a_row_past_the_limit(spark):
     rows = spark.createDataFrame([("c", i, n) for i, n in enumerate([6, 4, 1, 20, 1])] + [(None, 9, 1)], "channel string, seq long, size long")
     assert {(r["seq"], r["part"]) for r in E.rotate(rows, 10).collect()} == {(0, 0), (1, 0), (2, 1), (3, 2), (4, 3)}
+
+
+def test_sessions_leave_the_state(spark, tmp_path):
+    rows = [("a", 0), ("a", 200), ("a", 499), ("a", 900), ("b", 10), (None, 5), ("b", None), ("z", 9_000_000)]
+    path = str(tmp_path / "in")
+    df = spark.createDataFrame(rows, "k string, s long").selectExpr("k", "timestamp_seconds(s) AS t")
+    df.repartition(3).write.parquet(path)
+    got = {tuple(r) for r in E.heartbeat_sessions(spark, path, key="k", at="t", timeout="5 minutes", delay="1 hour").collect()}
+    us = 1_000_000
+    assert got == {("a", 0, 799 * us, 3), ("a", 900 * us, 1200 * us, 1), ("b", 10 * us, 310 * us, 1), (None, 5 * us, 305 * us, 1), ("z", 9_000_000 * us, 9_000_300 * us, 1)}
+    df.limit(0).write.parquet(str(tmp_path / "none"))
+    assert E.heartbeat_sessions(spark, str(tmp_path / "none"), key="k", at="t").count() == 0

@@ -77,3 +77,11 @@ def test_usage(spark):
     assert [(r["lines"], r["texts"], r["example"]) for r in U.line_templates(texts, fixed.ERROR_LINE).collect()] == [(3, 2, 'File "a.py", line 3')]
     tree = spark.createDataFrame([("a/b/c", 2), ("a/d", 3), ("e", None), (None, 9)], "path string, n int")
     assert {tuple(r) for r in U.rolled_up(tree, {"n": F.col("n")}).collect()} == {("", 3, 5), ("a", 2, 5), ("a/b", 1, 2)}
+
+
+def test_routing(spark):
+    profiles = (O.Profile("a", "x", commands=("git",)), O.Profile("b", "y", patterns=("zz",), priority=3), O.Profile("c", "z", patterns=("zz",), priority=3), O.Profile("d", "w", extensions=("py",)))
+    rows = [("zz", "git log", None, None), ("zz", None, "a.py", None), ("q", None, "a.PY", "k"), ("q", "ls", "a.c", "k"), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "t string, c string, p string, k string")
+    got = [r[0] and (r[0]["name"], r[0]["score"]) for r in df.select(O.routed(F.col("t"), F.col("c"), F.col("p"), F.col("k"), profiles)).collect()]
+    assert got == [("a", 100), ("b", 50), ("d", 30), None, None]
