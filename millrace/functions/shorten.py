@@ -1,6 +1,6 @@
 """Shorteners for tool output whose rules run line by line with state: diffs, histories, steps, blocks.
 
-Each is a plain function on one text; ``shortened`` makes it a column function over Arrow batches. Null stays null,
+Each is a plain function on one text; ``shortened`` makes it a column function over Arrow batches, or takes that of the JVM where there is one. Null stays null,
 and a text that holds nothing of the kind comes back as it is.
 """
 
@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -235,7 +236,25 @@ def register(name: str, f: Callable[[str], str]) -> None:
     SHORTENERS[name] = f
 
 
+def narrow_column(text: Column, width: int = 200) -> Column:
+    cut = F.transform(F.split(text, "\n"), lambda r: F.when(F.length(r) <= width, r).otherwise(F.concat(F.substring(r, 1, width), F.lit("..."))))
+    return F.array_join(cut, "\n")
+
+
+def sixty_forty_column(text: Column, budget: int = 3000) -> Column:
+    head, n = budget * 6 // 10, F.length(text)
+    marker = F.concat(F.lit("\n... ["), (n - budget).cast("string"), F.lit(" more characters]\n"))
+    return F.when(n <= budget, text).otherwise(F.concat(F.substring(text, 1, head), marker, F.right(text, F.lit(budget - head))))
+
+
+#: rules that stay in the JVM
+COLUMNS: dict[str, Callable[[Column], Column]] = {"narrow": narrow_column, "sixty_forty": sixty_forty_column}
+
+
 def shortened(name: str):
+    """A shortener as a column function."""
+    if name in COLUMNS:
+        return COLUMNS[name]
     f = SHORTENERS[name]
 
     @F.pandas_udf("string")

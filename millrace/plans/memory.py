@@ -163,6 +163,13 @@ def json_structure(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "queue_messages").select("id", chunker.json_summary()(F.col("data")).alias("summary"))
 
 
+@query("""SELECT doc_id, md5(array_to_string(list_transform(string_split(text, chr(10)), lambda r: CASE WHEN length(r) <= 200 THEN r ELSE substr(r, 1, 200) || '...' END), chr(10))) AS narrow,
+  md5(CASE WHEN length(text) <= 3000 THEN text ELSE substr(text, 1, 1800) || chr(10) || '... [' || (length(text) - 3000) || ' more characters]' || chr(10) || right(text, 1200) END) AS sixty_forty FROM documents""")
+def cut_texts(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    return table(spark, d, "documents").select("doc_id", *[F.md5(f(t)).alias(n) for n, f in S.COLUMNS.items()])
+
+
 @query()
 def shortened(spark: SparkSession, d: str) -> DataFrame:
     """Every stateful shortener over every document: how long the results are."""

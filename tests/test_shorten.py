@@ -67,3 +67,10 @@ def test_python_outlines():
     piece = "    return a\n  def f(self):\n" + "      work()\n" * 20 + "LIMIT: int = 3\n"
     assert S.python_outline(piece).split("\n") == ["    # ... [1 more lines]", "  def f(self):", "    # ... [20 more lines]", "LIMIT: int = 3"]
     assert S.python_outline("no python at all (") == "no python at all ("
+
+
+@pytest.mark.parametrize("name", list(S.COLUMNS))
+def test_columns_equal_functions(spark, name):
+    texts = ["", "plain", "x" * 3000, "y" * 3001, "é中" * 4000 + "\nshort\n" + "z" * 201, "a\r\n" * 2000, "\n\n"]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    assert [r[0] for r in df.select(S.COLUMNS[name](F.col("t"))).collect()] == [*map(S.SHORTENERS[name], texts), None]
