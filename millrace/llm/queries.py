@@ -57,7 +57,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = table(spark, sf_dir, "index_record")
     uris = records.groupBy("id").agg(F.min_by(F.struct("uri", "level"), F.struct("level", "uri")).alias("r")).select("id", "r.uri", "r.level")
-    near = nn.neighbours(records, 5, degree=16, cuttings=8)
+    near = nn.neighbours(records, 5, degree=20, cuttings=32, rounds=5)
     return near.join(uris.select(F.col("id").alias("neighbour"), "uri", "level"), "neighbour").select("id", "level", "rank", "neighbour", "uri", "cosine")
 
 
