@@ -173,6 +173,6 @@ def cut_texts(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def shortened(spark: SparkSession, d: str) -> DataFrame:
     """Every stateful shortener over every document: how long the results are."""
-    docs = table(spark, d, "documents")
-    return docs.select("doc_id", *[F.length(S.shortened(n)(F.col("text"))).alias(n) for n in S.SHORTENERS])
+    docs = table(spark, d, "documents").select("doc_id", *[F.length(f(F.col("text"))).alias(n) for n, f in S.COLUMNS.items()], S.lengths(F.col("text")).alias("l"))
+    return docs.select("doc_id", *[n if n in S.COLUMNS else f"l.{n}" for n in S.SHORTENERS])
 

@@ -1,5 +1,7 @@
 """Shorteners on written cases."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,3 +76,46 @@ def test_columns_equal_functions(spark, name):
     texts = ["", "plain", "x" * 3000, "y" * 3001, "é中" * 4000 + "\nshort\n" + "z" * 201, "a\r\n" * 2000, "\n\n"]
     df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
     assert [r[0] for r in df.select(S.COLUMNS[name](F.col("t"))).collect()] == [*map(S.SHORTENERS[name], texts), None]
+
+
+def test_lengths_share_one_python_step(spark):
+    texts = ["", "plain", "é中" * 4000 + "\nshort\n" + "z" * 201, "a\r\n" * 2000, "test_a ... ok\ntest_b ... ok\n", "def f():\n    return 1\n" * 30, None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(S.lengths(F.col("t")).alias("l")).select("l.*")
+    assert df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert {t for _, t in df.dtypes} == {"int"} and set(df.columns) | set(S.COLUMNS) == set(S.SHORTENERS)
+    assert [r.asDict() for r in df.collect()] == [{n: t if t is None else len(S.SHORTENERS[n](t)) for n in df.columns} for t in texts]
+
+
+def test_shortened_reads_texts_once_in_python(spark, tmp_path):
+    from millrace.plans.memory import shortened
+
+    spark.createDataFrame([(1, "a\nb"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = shortened(spark, str(tmp_path))
+    assert df.columns == ["doc_id", *S.SHORTENERS] and {t for _, t in df.dtypes[1:]} == {"int"}
+    assert df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted(map(tuple, df.collect())) == [(1, *[len(f("a\nb")) for f in S.SHORTENERS.values()]), (2, *[None] * len(S.SHORTENERS))]
+
+
+@pytest.mark.parametrize("name", list(S.SHORTENERS))
+@pytest.mark.parametrize("text", ["\n" * 100_000, "test_a\n" + " " * 100_000, "a.py::" * 16_000, "A: " + " " * 5_000, "test_" + "(" * 100_000 + " x ... ok"], ids=["blank", "described", "paths", "typed", "open"])
+def test_long_texts_take_time_in_proportion(name, text):
+    began = time.thread_time()
+    S.SHORTENERS[name](text)
+    assert time.thread_time() - began < 2
+
+
+def test_blank_lines_are_no_steps():
+    text = "go\n" + "".join(f"{i}. do\n\n" for i in range(1, 9))
+    assert S.steps(text) == "go\n1. do\n\n2. do\n\n3. do\n\n... [3 more steps]\n7. do\n\n8. do\n\n"
+
+
+@pytest.mark.parametrize("text", ["1+" * 1500 + "1", "a" + ".b" * 1200, "x = 0x" + "9" * 5000])
+def test_python_that_can_not_be_written_again(text):
+    assert S.python_outline("def f():\n    pass\n" + text) == "def f():\n    # ... [2 more lines]"
+
+
+def test_passing_tests_with_places():
+    passing = ["a.py::b XPASS [ 5%]", "test_a(b c) ... ok", "test_a(b)(c) ...OK \t", "test_a (m.C)\nsays ... what ... ok", "test_a...ok"]
+    assert S.test_runs("\n".join(passing)) == "... [5 passing tests]"
+    for other in ("a.py:: PASSED", ".py::b PASSED", "test_a () ... ok", "test_ (a) ... ok", "test_a (b) c ... ok", "test_a (m.C) \nsays ... ok", " test_a ... ok", "test_a\ntest_b ... no"):
+        assert S.test_runs(other) == other
