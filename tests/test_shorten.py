@@ -119,3 +119,11 @@ def test_passing_tests_with_places():
     assert S.test_runs("\n".join(passing)) == "... [5 passing tests]"
     for other in ("a.py:: PASSED", ".py::b PASSED", "test_a () ... ok", "test_ (a) ... ok", "test_a (b) c ... ok", "test_a (m.C) \nsays ... ok", " test_a ... ok", "test_a\ntest_b ... no"):
         assert S.test_runs(other) == other
+
+
+def test_what_is_searched_for_may_stand_anywhere():
+    rest = "\n" + "\n".join(f" l{i}" for i in range(6))
+    assert S.diff_context("+a" + rest).endswith("... [3 more lines]") and S.diff_context(rest[1:] + "\n-a").startswith("... [3 more lines]")
+    assert S.long_blocks("a (\n" + "  1,\n" * 13 + ")").count("\n") == 14 and S.long_blocks("a (\n" + "  1,\n" * 14 + ")").count("\n") == 11
+    assert S.sections("A: \t\n" + " 1\n" * 6 + " 1").endswith("... [2 more lines]") and S.work_tree("x\nR  a\r\n?? b") == "staged (1): a\r\nuntracked (1): b"
+    assert S.by_rule("x\na.py:1 W605 y") == "x\nW605 (1):\n  a.py:1 W605 y" and S.history("x\ncommit 0123abc\n\n    S") == "0123abc S"
